@@ -7,10 +7,12 @@ lineage. Nothing here depends on a driver-local or executor-local file.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The whitespace of all word contracts: space, tab, LF, VT, FF and CR.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -44,6 +46,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], fields: str) -> DataFrame:
+    """A table of a few rows that the plan itself holds; no Python runs on the executors. fields: ``name type, ...``."""
+    names = [f.split()[0] for f in fields.split(",")]
+    text = json.dumps([dict(zip(names, row, strict=True)) for row in rows])
+    kind = ", ".join(": ".join(f.split()) for f in fields.split(","))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kind}>>")))
+
+
 def word_count(text: Column) -> Column:
     """Number of words (runs without the six ASCII spaces) as long; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
@@ -67,3 +77,26 @@ def lookup(rows: DataFrame, groups: DataFrame, keys: list[str], n_col: str, tota
     )
     found = dealt.join(cold, [*keys, "_deal"], "left").withColumn("_found", F.coalesce("_hot", "_cold"))
     return found.select(*rows.columns, "_deal", *[F.col(f"_found.{c}").alias(c) for c in values])
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
+    """128 bits of (doc_id, text), never null; rows that share them are interchangeable."""
+    return F.xxhash64(F.col(doc_id), F.col(text)), F.xxhash64(F.lit("canopy"), F.col(text), F.col(doc_id))
+
+
+def emit(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Rows of docs, each as often as decided.
+
+    ``decisions`` has (_k1, _k2, copies), a row for each row of docs. Rows that repeat a
+    doc_id and text share the sum of their copies as evenly as whole numbers allow. docs is shuffled once, by keys
+    that differ between copies of a text.
+    """
+    wanted = decisions.groupBy("_k1", "_k2").agg(F.sum("copies").alias("_total"), F.count("*").alias("_n")).where("_total > 0")
+    k1, k2 = row_key()
+    own = [F.col(c).alias(f"_own_{i}") for i, c in enumerate(docs.columns)]
+    rows = docs.select(*own, k1.alias("_k1"), k2.alias("_k2")).join(wanted, ["_k1", "_k2"])
+    nth = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_k1")).cast("long")
+    share = F.floor(F.col("_total") * F.col("_nth") / F.col("_n")) - F.floor(F.col("_total") * (F.col("_nth") - 1) / F.col("_n"))
+    rows = rows.withColumn("_nth", nth).withColumn("_share", share.cast("int")).where("_share > 0")
+    back = [F.col(f"_own_{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_share")))).select(*back)

@@ -5,9 +5,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from canopy.llm import exact_dedup
-from canopy.llm.common import table
+from canopy.llm import decontaminate, exact_dedup, mixing, secrets, sharding, simhash, url_filter
+from canopy.llm.common import literal_table, table
+
+#: Host, path, verdict of the listed URLs.
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that the mix takes of it."""
+    return mixing.mark(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and component."""
+    marked = simhash.mark(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return marked.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict under the listed URLs."""
+    rules = literal_table(spark, list(URL_RULES), "host string, path string, verdict string")
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shard and place."""
+    return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's overlap with the benchmark."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.mark(docs, table(spark, sf_dir, "benchmark")).drop("text")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets."""
+    return secrets.mark(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,12 +55,23 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage by name."""
-    return {f.__name__: f for f in (op10_exact_dedup,)}
+    found = (op2_mixing, op5_simhash_dedup, op6_url_filter, op7_sharding, op8_decontamination, op9_secret_scan, op10_exact_dedup)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
     return {
+        "op6_url_filter": r"""
+            WITH r(key_host, key_path, rule_verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+                     ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+                 u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+                 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+                 m AS (SELECT page_id, host, path, key_host || key_path AS rule, rule_verdict,
+                              row_number() OVER (PARTITION BY page_id ORDER BY length(key_host || key_path) DESC NULLS LAST, length(key_host) DESC) AS nth
+                       FROM p LEFT JOIN r ON (host = key_host OR ends_with(host, '.' || key_host)) AND starts_with(path, key_path))
+            SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM m WHERE nth = 1""",
         "op10_exact_dedup": r"""
             WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
                  g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
