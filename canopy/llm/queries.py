@@ -2,23 +2,42 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import decontaminate, exact_dedup, mixing, secrets, sharding, simhash, url_filter
-from canopy.llm.common import literal_table, table
+from canopy.llm import classifier, decontaminate, exact_dedup, line_dedup, mixing, secrets, sharding, simhash, url_filter, warc
+from canopy.llm.common import literal_table, shared_dir, table
 
 #: Host, path, verdict of the listed URLs.
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the later copies of repeated line runs."""
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes of it."""
     return mixing.mark(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classifier.mark(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from the archives that it was written to."""
+    path = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    warc.write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    return warc.pages_of(warc.read_archive(spark, path, with_payload=False))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and component."""
     marked = simhash.mark(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -55,13 +74,34 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage by name."""
-    found = (op2_mixing, op5_simhash_dedup, op6_url_filter, op7_sharding, op8_decontamination, op9_secret_scan, op10_exact_dedup)
+    found = (op1_line_dedup, op2_mixing, op3_quality_classifier, op4_warc, op5_simhash_dedup, op6_url_filter, op7_sharding, op8_decontamination, op9_secret_scan, op10_exact_dedup)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
     return {
+        "op1_line_dedup": r"""
+            WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+                 e AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM l),
+                 w AS (SELECT *, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) OVER (PARTITION BY doc_id ORDER BY i) AS upto,
+                              len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM e),
+                 s AS (SELECT a.doc_id, a.i, min(b.i) AS j FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.n >= 50 GROUP BY ALL),
+                 p AS (SELECT s.doc_id, s.i, s.j, array_to_string(l.lines[s.i : s.j], chr(10)) AS passage FROM s JOIN l USING (doc_id)),
+                 r AS (SELECT *, row_number() OVER (PARTITION BY passage ORDER BY doc_id, i) AS nth FROM p),
+                 d AS (SELECT DISTINCT doc_id, unnest(generate_series(i, j)) AS i FROM r WHERE nth > 1),
+                 g AS (SELECT doc_id, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g, i FROM d),
+                 m AS (SELECT doc_id, min(i) - 1 AS a, max(i) - 1 AS b FROM g GROUP BY doc_id, g),
+                 x AS (SELECT doc_id, string_agg(a || ':' || b, ',' ORDER BY a) AS deleted, sum(b - a + 1) AS n_deleted FROM m GROUP BY doc_id),
+                 k AS (SELECT e.doc_id, string_agg(line, chr(10) ORDER BY e.i) AS kept FROM e LEFT JOIN d ON e.doc_id = d.doc_id AND e.i = d.i WHERE d.i IS NULL GROUP BY e.doc_id)
+            SELECT l.doc_id, coalesce(k.kept, '') AS text, len(l.lines)::BIGINT AS n_lines, coalesce(x.n_deleted, 0)::BIGINT AS n_deleted, coalesce(x.deleted, '') AS deleted
+            FROM l LEFT JOIN x USING (doc_id) LEFT JOIN k USING (doc_id)""",
+        "op4_warc": r"""
+            WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+                 g AS (SELECT h, max(page_id) AS top FROM p WHERE strlen(h) >= 1000 GROUP BY h)
+            SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest,
+                   CASE WHEN page_id <> top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+            FROM p LEFT JOIN g USING (h)""",
         "op6_url_filter": r"""
             WITH r(key_host, key_path, rule_verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
                      ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
