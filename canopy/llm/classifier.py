@@ -185,6 +185,6 @@ def mark(docs: DataFrame, labels: DataFrame, trained_on: DataFrame | None = None
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier predicts to be of class 1."""
-    own = [F.col(c).alias(f"_own_{i}") for i, c in enumerate(docs.columns)]
+    own = [F.col(f"`{c}`").alias(f"_own_{i}") for i, c in enumerate(docs.columns)]
     marked = mark(docs.select("doc_id", "text", *own), labels, docs).where("predicted = 1")
     return marked.select(*[F.col(f"_own_{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shielded(df: DataFrame, needs: list[str], operate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``operate`` on the columns it needs, with all others carried along out of its sight.
+
+    The result has the columns of df and those that operate adds; of two with one name the added one stays.
+    """
+    rest = [c for c in df.columns if c not in needs]
+    hidden = [F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]).alias("_rest")] if rest else []
+    out = operate(df.select(*needs, *hidden))
+    added = [c for c in out.columns if c not in (*needs, "_rest")]
+    taken = {c.lower() for c in added}
+    back = [F.col(c) if c in needs else F.col(f"_rest.c{rest.index(c)}").alias(c) for c in df.columns if c.lower() not in taken]
+    return out.select(*back, *added)
+
+
 def literal_table(spark: SparkSession, rows: list[tuple], fields: str) -> DataFrame:
     """A table of a few rows that the plan itself holds; no Python runs on the executors. fields: ``name type, ...``."""
     names = [f.split()[0] for f in fields.split(",")]
@@ -93,7 +108,7 @@ def emit(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """
     wanted = decisions.groupBy("_k1", "_k2").agg(F.sum("copies").alias("_total"), F.count("*").alias("_n")).where("_total > 0")
     k1, k2 = row_key()
-    own = [F.col(c).alias(f"_own_{i}") for i, c in enumerate(docs.columns)]
+    own = [F.col(f"`{c}`").alias(f"_own_{i}") for i, c in enumerate(docs.columns)]
     rows = docs.select(*own, k1.alias("_k1"), k2.alias("_k2")).join(wanted, ["_k1", "_k2"])
     nth = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_k1")).cast("long")
     share = F.floor(F.col("_total") * F.col("_nth") / F.col("_n")) - F.floor(F.col("_total") * (F.col("_nth") - 1) / F.col("_n"))

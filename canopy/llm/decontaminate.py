@@ -151,6 +151,6 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns."""
-    own = [F.col(c).alias(f"_own_{i}") for i, c in enumerate(docs.columns)]
+    own = [F.col(f"`{c}`").alias(f"_own_{i}") for i, c in enumerate(docs.columns)]
     clean = mark(docs.select("text", *own), benchmark, window).where(~F.col("contaminated"))
     return clean.select(*[F.col(f"_own_{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -9,7 +9,8 @@ Each stage groups by the normalised text itself next to its digest, so texts are
 Defined cases: a null text counts as empty; texts are equal when they are identical after each run of ASCII
 whitespace became one space; of equal texts the smallest doc_id stays (null ids come last); rows
 that repeat a doc_id as well as a text give one kept row; an empty table gives an empty
-result; further columns of the input are carried through only by ``drop_duplicates``.
+result; further columns are carried through, and one that has the name of a result column
+gives way to it.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from canopy.llm.common import lookup, shared_table
+from canopy.llm.common import lookup, shared_table, shielded
 
 SALTS = 32
 
@@ -40,6 +41,10 @@ def digest_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
 
 def mark(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """Every row of docs with keep_id, group_size, kept and text_sha256 (of the normalised text)."""
+    return shielded(docs, ["doc_id", "text"], lambda d: _mark(d, salts))
+
+
+def _mark(docs: DataFrame, salts: int) -> DataFrame:
     groups = shared_table(digest_groups(docs, salts), "exact-groups")
     rows = docs.withColumn("_norm", normalised(F.col("text")))
     rows = rows.withColumn("digest", F.sha2("_norm", 256)).withColumn("n_bytes", F.octet_length("_norm")).drop("_norm")
@@ -58,6 +63,6 @@ def mark(docs: DataFrame, salts: int = SALTS) -> DataFrame:
 
 def drop_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    own = [F.col(c).alias(f"_own_{i}") for i, c in enumerate(docs.columns)]
-    marked = mark(docs.select("doc_id", "text", *own), salts).where("kept")
-    return marked.select(*[F.col(f"_own_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row"))
+    kept = mark(rows, salts).where("kept")
+    return kept.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from canopy.llm.common import lookup, row_key, shared_table, word_count
+from canopy.llm.common import lookup, row_key, shared_table, shielded, word_count
 
 MIN_WORDS = 50
 _DOC_BITS, _LINE_BITS = 32, 31
@@ -149,6 +149,10 @@ def _merged(runs: Column) -> Column:
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with text freed of later copies, and n_lines, n_deleted and deleted (runs as start:end from 0, inclusive, comma-joined)."""
+    return shielded(docs, ["doc_id", "text"], lambda d: _dedup(d, min_words))
+
+
+def _dedup(docs: DataFrame, min_words: int) -> DataFrame:
     later = later_copies(sequences(repeated_lines(docs.select("doc_id", "text")), min_words), min_words)
     lines = F.split("text", "\n", -1)
     if later is None:
@@ -167,5 +171,5 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     kept = F.flatten(F.zip_with(ends, begins, lambda e, b: F.slice("_lines", e + 2, F.greatest(b - e - 1, F.lit(0)))))
     text = F.when(F.size("_runs") == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
     said = F.array_join(F.transform("_runs", lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string"))), ",")
-    own = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns]
+    own = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     return found.select(*own, F.size("_lines").cast("long").alias("n_lines"), gone.alias("n_deleted"), said.alias("deleted"))

@@ -11,7 +11,7 @@ pieces are summed up in map order, and rows are numbered inside their piece. All
 the slot table, whose size is fixed.
 
 Defined cases: a null text has size 1 and the checksum of an empty text; null ids hash like any value; repeated rows are placed alike and
-numbered apart; an empty table gives an empty result.
+numbered apart; an empty table gives an empty result; further columns are carried through, and one with the name of a result column gives way to it.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from canopy.llm.common import literal_table
+from canopy.llm.common import literal_table, shielded
 
 SLOTS, SHARDS, PIECES = 4096, 8, 4096
 MAP_SCHEMA = "version int, slot int, part int, shard int"
@@ -109,6 +109,10 @@ def _ints(values: list[int]) -> Column:
 
 def assign(docs: DataFrame, placed: Place | None = None, shards: int = SHARDS) -> DataFrame:
     """docs with size, text_crc32, law, shard, slot (the number within the shard), grown_shard (null) and virtual_slot, under a stored map or one made for docs."""
+    return shielded(docs, ["doc_id", "text"], lambda d: _assign(d, placed, shards))
+
+
+def _assign(docs: DataFrame, placed: Place | None, shards: int) -> DataFrame:
     sizes = slot_sizes(docs)
     placed = place(sizes, shards) if placed is None else placed
     parts = [0] * SLOTS
@@ -122,7 +126,7 @@ def assign(docs: DataFrame, placed: Place | None = None, shards: int = SHARDS) -
     total = max(1, sum(n for n, _ in sizes.values()))
     pieces = [-(-sizes.get(s, (0, 0))[0] * PIECES // total) or 1 for s in range(SLOTS)]
     by_id = F.xxhash64(F.col("doc_id"), F.lit("part"))
-    own = [F.col(c).alias(f"_own_{i}") for i, c in enumerate(docs.columns)]
+    own = [F.col(f"`{c}`").alias(f"_own_{i}") for i, c in enumerate(docs.columns)]
     rows = keyed(docs.select("doc_id", "text", *own)).withColumn("_part", F.pmod(by_id, _ints(parts)[F.col("_slot")]).cast("int"))
     rows = rows.withColumn("_shard", _ints(flat)[_ints(firsts)[F.col("_slot")] + F.col("_part")])
     rows = rows.withColumn("_piece", F.pmod(F.xxhash64(F.col("doc_id"), F.lit("piece")), _ints(pieces)[F.col("_slot")]).cast("int")).drop("text")

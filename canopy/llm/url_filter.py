@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from canopy.llm.common import shielded
+
 BITS_PER_RULE, MAX_FILTER_BYTES, MAX_BROADCAST_BYTES = 16, 64 << 20, 8 << 20
 WORDS = 8
 
@@ -84,12 +86,16 @@ def candidates(host: Column, path: Column, path_lengths: list[int]) -> Column:
 
 def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """pages (with column url) plus host, path, rule and verdict. rules: host, path, verdict."""
+    return shielded(pages, ["url"], lambda p: _judge(p, rules))
+
+
+def _judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     rules = rules.where("host IS NOT NULL AND path IS NOT NULL").select(F.concat("host", "path").alias("key"), F.char_length("path").alias("n_path"), F.char_length("host").alias("n_host"), "verdict")
     lengths = sorted(r[0] for r in rules.select("n_path").distinct().collect())  # no more than the longest path has characters
     rules = rules.groupBy("key").agg(F.min("verdict").alias("rule_verdict"), F.max("n_host").alias("n_host"))
     bloom = BlockedBloom(rules)
     size = rules.agg(F.coalesce(F.sum(F.octet_length("key") + 16), F.lit(0))).first()[0]
-    own = [F.col(c).alias(f"_own_{i}") for i, c in enumerate(pages.columns)]
+    own = [F.col(f"`{c}`").alias(f"_own_{i}") for i, c in enumerate(pages.columns)]
     rows = pages.select(*own, F.monotonically_increasing_id().alias("_row"), host(F.col("url")).alias("_host"), path(F.col("url")).alias("_path"))
     possible = F.filter(candidates(F.col("_host"), F.col("_path"), lengths), bloom.may_hold)
     hits = rows.withColumn("key", F.explode_outer(F.when(F.col("_host") != "", possible)))
