@@ -121,7 +121,7 @@ class Paths:
 
     def anchored(self, steps: list[tuple]) -> tuple[DataFrame, list[tuple]]:
         """Leading name steps without predicates as one filter on the stored path."""
-        pattern, used, deep, last = "", 0, False, None
+        pattern, used, deep, last, kind = "", 0, False, None, "element"
         for step in steps:
             if step[0] != "axis" or step[3] and step[1] != "child":
                 break
@@ -136,13 +136,13 @@ class Paths:
             pattern += ("(/[^/]+)*" if deep else "") + ("/@" if axis == "attribute" else "/") + name
             deep, used, last = False, used + 1, test
             if axis == "attribute":
+                kind = axis
                 break
         if deep:
             used -= 1
         origin = F.lit(0).cast("long").alias("origin")
         if last is None:
             return self.nodes.where("pre = 0").select("doc_id", origin, *NODE), steps
-        kind = "attribute" if "/@" in pattern else "element"
         rows = self.nodes.where(F.col("kind") == kind).where(F.col("path").rlike(f"^{pattern}$"))
         if last[2] != "*":
             rows = rows.where(F.col("name") == last[2])

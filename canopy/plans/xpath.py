@@ -413,7 +413,10 @@ class _Parser:
 
 def compile_xpath(text: str) -> tuple:
     """Syntax tree of an expression; raises XPathError before any job starts."""
-    return _Parser(text).whole()
+    try:
+        return _Parser(text).whole()
+    except RecursionError:
+        raise XPathError("XPST0003", "expression nested too deeply") from None
 
 
 def parse_type(text: str) -> tuple[str, str]:
