@@ -161,7 +161,8 @@ def _dedup(docs: DataFrame, min_words: int) -> DataFrame:
     runs = maximal_runs(later).groupBy("_k1", "_k2").agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("runs"))
     runs = shared_table(runs.select("_k1", "_k2", _merged(F.col("runs")).alias("_runs")), "runs")
     k1, k2 = row_key()
-    found = docs.withColumns({"_k1": k1, "_k2": k2}).join(runs, ["_k1", "_k2"], "left")
+    # The runs grow with the corpus, so their join shuffles at any size rather than turn from a broadcast into a shuffle.
+    found = docs.withColumns({"_k1": k1, "_k2": k2}).join(runs.hint("merge"), ["_k1", "_k2"], "left")
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
     found = found.withColumn("_runs", F.coalesce("_runs", none)).withColumn("_lines", F.coalesce(lines, F.expr("cast(array() as array<string>)")))
     gone = F.aggregate("_runs", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"] + 1)
