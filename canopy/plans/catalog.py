@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,12 +37,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_nodes(read(spark, sf_dir, "pages"), "page_id", "html", html=True)
+    """Node table of the pages; kept, as every step of a path reads it and all queries share it."""
+    return parse_nodes(read(spark, sf_dir, "pages"), "page_id", "html", html=True).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document for each order: order / lineitem* / field*."""
-    return publish(read(spark, sf_dir, "lineitem"), "l_orderkey", LINE_ORDER, "order", "lineitem", ["l_partkey", "l_quantity", "l_returnflag", "l_extendedprice"])
+    nodes = publish(read(spark, sf_dir, "lineitem"), "l_orderkey", LINE_ORDER, "order", "lineitem", ["l_partkey", "l_quantity", "l_returnflag", "l_extendedprice"])
+    return nodes.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 # --- HTML and navigation ---
