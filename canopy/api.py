@@ -232,3 +232,8 @@ def xinclude(df: DataFrame, uri: str, text: str, max_depth: int = 16) -> DataFra
         joined = wanted.join(given, uri, "left")
         current = joined.withColumn(text, F.when(F.size("_hrefs") > 0, replaced(text, "_given")).otherwise(F.col(text))).select(*df.columns)
     return current
+
+
+def typed_rows(df: DataFrame, text: str, schema: str, into: str = "row") -> DataFrame:
+    """df with the document as a struct: attributes are fields named ``@name``, text beside them is ``$text``; a document that does not parse gives nulls."""
+    return df.withColumn(into, F.from_xml(F.col(text), schema, {"attributePrefix": "@", "valueTag": "$text"}))

@@ -150,3 +150,9 @@ def test_entry_imports_without_the_corpus_operators(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True).returncode == 0
+
+
+def test_typed_rows(spark):
+    table = spark.createDataFrame([('<o id="7"><i k="a">5</i><i k="b">6</i></o>',)], "x string")
+    row = api.typed_rows(table, "x", "`@id` long, i array<struct<`@k`: string, `$text`: int>>").first()["row"]
+    assert row["@id"] == 7 and [(i["@k"], i["$text"]) for i in row["i"]] == [("a", 5), ("b", 6)]
