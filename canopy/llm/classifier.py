@@ -14,6 +14,7 @@ repeated rows get equal scores.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,15 +26,32 @@ from pyspark.sql import functions as F
 DIM, BUCKETS, NGRAMS = 8, 1 << 16, (3, 4)
 MAX_TRAIN_ROWS, STEPS, RATE, SEED = 4000, 12_000, 0.5, 7
 BACK, PRIOR = 4, 32
-CACHED_WORDS = 200_000
-
-
-def word_features(word: bytes) -> list[int]:
-    """Buckets of a word and of its character n-grams."""
-    hashed = xxhash.xxh32_intdigest
-    marked = f"<{word.decode('utf-8', 'replace')}>"
-    grams = [marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1)]
-    return [hashed(word, 1) % BUCKETS, *(hashed(g.encode(), 2) % BUCKETS for g in grams)]
+CACHED_WORDS = 300_000
+#: Texts whose new words are hashed together.
+TOGETHER = 128
+FACTOR, MIXER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, number of its word) of every feature of some words: the words and their character n-grams, hashed together in numpy."""
+    marked = [f"<{w.decode('utf-8', 'replace')}>" for w in words]
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    ends = np.cumsum(sizes)
+    codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    of = np.repeat(np.arange(len(marked)), sizes)
+    place = np.arange(len(codes)) - (ends - sizes)[of]
+    powers = np.multiply.accumulate(np.full(sizes.max(initial=1), FACTOR, np.uint64))
+    found, owners = [np.add.reduceat(codes * powers[place], ends - sizes) if len(words) else codes], [np.arange(len(marked))]
+    for n in NGRAMS:
+        starts = np.flatnonzero(place + n <= sizes[of])
+        gram = codes[starts] + np.uint64(n << 32)
+        for k in range(1, n):
+            gram = gram * FACTOR + codes[starts + k]
+        found.append(gram)
+        owners.append(of[starts])
+    hashed = np.concatenate(found)
+    hashed = (hashed ^ (hashed >> np.uint64(29))) * MIXER
+    return ((hashed >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int32), np.concatenate(owners)
 
 
 def special(name: str) -> int:
@@ -95,9 +113,8 @@ def feature_counts(text: Column) -> Column:
         found = []
         for x in texts:
             words, at = np.unique(np.array(x.as_buffer().to_pybytes().split() if x.is_valid else [], object), return_inverse=True)
-            total = np.zeros(BUCKETS, np.int32)
-            for word, n in zip(words, np.bincount(at, minlength=len(words)).tolist()):
-                np.add.at(total, word_features(word), n)
+            features, owner = word_features(list(words))
+            total = np.bincount(features, np.bincount(at, minlength=len(words))[owner], minlength=BUCKETS).astype(np.int32)
             for bucket, n in back_references(at):
                 total[bucket] += n
             buckets = np.flatnonzero(total).astype(np.int32)
@@ -108,50 +125,67 @@ def feature_counts(text: Column) -> Column:
 
 
 class _Words(dict):
-    """Number of each word seen, with what it adds to a document in ``sums`` and ``sizes``."""
+    """Number of each word seen; ``settle`` gives new ones what they add to a document (``sums``) and their features (``sizes``)."""
 
-    def __init__(self, weights: np.ndarray):
-        self.weights, self.sums, self.sizes = weights, np.zeros(1 << 12), np.zeros(1 << 12)
+    def __init__(self):
+        self.new: list[bytes] = []
+        self.sums, self.sizes = np.zeros(0), np.zeros(0)
 
     def __missing__(self, word: bytes) -> int:
-        n = len(self)
-        if n == len(self.sums):
-            self.sums, self.sizes = np.resize(self.sums, 2 * n), np.resize(self.sizes, 2 * n)
-        features = word_features(word)
-        self.sums[n], self.sizes[n] = self.weights[features].sum(), len(features)
-        self[word] = n
+        self.new.append(word)
+        self[word] = n = len(self)
         return n
 
-
-def scorer(model: Model):
-    """Function from a UTF-8 text to its score."""
-    weights, bias = model.weights()
-    words = _Words(weights)
-
-    def score(text: bytes | None) -> float:
-        nonlocal words
-        tokens = (text or b"").split()
-        at = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
-        extra = back_references(at)
-        total = words.sums[at].sum() + sum(n * weights[bucket] for bucket, n in extra)
-        mean = total / (words.sizes[at].sum() + sum(n for _, n in extra))
+    def settle(self, weights: np.ndarray) -> None:
+        if self.new:
+            features, owner = word_features(self.new)
+            self.sums = np.concatenate((self.sums, np.bincount(owner, weights[features], len(self.new))))
+            self.sizes = np.concatenate((self.sizes, np.bincount(owner, minlength=len(self.new))))
+            self.new.clear()
+
+
+class Scorer:
+    """Scores texts; keeps the words it has seen, as far as ``CACHED_WORDS`` goes."""
+
+    def __init__(self, weights: np.ndarray, bias: float):
+        self.weights, self.bias, self.words = weights, bias, _Words()
+
+    def scores(self, texts: list[bytes | None]) -> np.ndarray:
+        """Scores of some texts (UTF-8)."""
+        numbered = []
+        for text in texts:
+            tokens = (text or b"").split()
+            numbered.append(np.fromiter(map(self.words.__getitem__, tokens), np.int64, len(tokens)))
+        words = self.words
+        words.settle(self.weights)
+        out = np.empty(len(texts))
+        for i, at in enumerate(numbered):
+            extra = back_references(at)
+            total = words.sums[at].sum() + sum(n * self.weights[bucket] for bucket, n in extra)
+            out[i] = total / (words.sizes[at].sum() + sum(n for _, n in extra))
         if len(words) > CACHED_WORDS:
-            words = _Words(weights)
-        return float(1 / (1 + np.exp(-(mean + bias))))
+            self.words = _Words()
+        return 1 / (1 + np.exp(-(out + self.bias)))
+
 
-    return score
+#: The scorer of a worker's latest model, which tasks of one worker share.
+_scorer: dict[str, Scorer] = {}
 
 
 def score_column(model: Model, text: Column) -> Column:
     """Scores of whole texts."""
     weights, bias = model.weights()
-    built: list = []
+    name = uuid.uuid4().hex
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
-        if not built:
-            built.append(scorer(Model(weights.reshape(-1, 1), np.array([[0.0, 1.0]]), np.array([0.0, bias]))))
-        return pa.array([built[0](x.as_buffer().to_pybytes() if x.is_valid else None) for x in texts], pa.float64())
+        if name not in _scorer:
+            _scorer.clear()
+            _scorer[name] = Scorer(weights, bias)
+        out = []
+        for at in range(0, len(texts), TOGETHER):
+            out.append(_scorer[name].scores([x.as_buffer().to_pybytes() if x.is_valid else None for x in texts[at : at + TOGETHER]]))
+        return pa.array(np.concatenate(out) if out else [], pa.float64())
 
     return scored(text)
 
