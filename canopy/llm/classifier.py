@@ -1,10 +1,9 @@
 """Quality classifier on supervised subword embeddings.
 
-Every whitespace-separated word gives hashed features: itself and its character n-grams with word boundaries. Word n-grams enter as back-references: a word
-equal to the one 1 to ``BACK`` places before it gives the feature of that distance, whatever the word. Every document has ``PRIOR`` times
+Every whitespace-separated word gives hashed features: itself and its character n-grams with word boundaries; every two neighbouring words give one more (a word next to itself the same one for all words, as no list of words could teach repetition). Every document has ``PRIOR`` times
 an end mark, which draws very short texts to the common score. A feature has a learned vector; a document is the mean of its features' vectors, followed by a softmax over two classes. Vectors and output layer are trained together by plain stochastic gradient
-descent in numpy, on at most ``MAX_TRAIN_ROWS`` labelled rows (those with the smallest hashes of their id),
-whose feature counts the executors compute. Scoring reads every whole text: because the output is linear in
+descent in numpy, on at most ``MAX_TRAIN_ROWS`` labelled rows (those with the smallest hashes) whose features take at most ``MAX_TRAIN_BYTES``.
+Executors count the features and one task of theirs trains, so that the driver sees no more than one number a feature. Scoring reads every whole text: because the output is linear in
 the mean, a word's contribution is one number, kept in a bounded cache.
 
 Only texts enter a score. Defined cases: a null or blank text has the end mark alone; rows without a label or a known
@@ -23,17 +22,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIM, BUCKETS, NGRAMS = 8, 1 << 16, (3, 4)
-MAX_TRAIN_ROWS, STEPS, RATE, SEED = 4000, 12_000, 0.5, 7
-BACK, PRIOR = 4, 32
+DIM, BUCKETS, NGRAMS, PRIOR = 8, 1 << 17, (3, 4), 32
+MAX_TRAIN_ROWS, MAX_TRAIN_BYTES, STEPS, RATE, SEED = 4000, 256 << 20, 12_000, 0.5, 7
 CACHED_WORDS = 300_000
 #: Texts whose new words are hashed together.
 TOGETHER = 128
 FACTOR, MIXER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, number of its word) of every feature of some words: the words and their character n-grams, hashed together in numpy."""
+def _buckets(hashed: np.ndarray) -> np.ndarray:
+    hashed = (hashed ^ (hashed >> np.uint64(29))) * MIXER
+    return ((hashed >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int32)
+
+
+def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, number of its word) of every feature of some words, the words and their character n-grams, and the words' hashes; all in numpy."""
     marked = [f"<{w.decode('utf-8', 'replace')}>" for w in words]
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     ends = np.cumsum(sizes)
@@ -41,7 +44,8 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     of = np.repeat(np.arange(len(marked)), sizes)
     place = np.arange(len(codes)) - (ends - sizes)[of]
     powers = np.multiply.accumulate(np.full(sizes.max(initial=1), FACTOR, np.uint64))
-    found, owners = [np.add.reduceat(codes * powers[place], ends - sizes) if len(words) else codes], [np.arange(len(marked))]
+    whole = np.add.reduceat(codes * powers[place], ends - sizes) if len(words) else codes
+    found, owners = [whole], [np.arange(len(marked))]
     for n in NGRAMS:
         starts = np.flatnonzero(place + n <= sizes[of])
         gram = codes[starts] + np.uint64(n << 32)
@@ -49,20 +53,17 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             gram = gram * FACTOR + codes[starts + k]
         found.append(gram)
         owners.append(of[starts])
-    hashed = np.concatenate(found)
-    hashed = (hashed ^ (hashed >> np.uint64(29))) * MIXER
-    return ((hashed >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int32), np.concatenate(owners)
+    return _buckets(np.concatenate(found)), np.concatenate(owners), whole
 
 
-def special(name: str) -> int:
-    """Bucket of a feature that is no part of a word."""
-    return xxhash.xxh32_intdigest(name, 3) % BUCKETS
+def bigrams(hashes: np.ndarray) -> np.ndarray:
+    """Buckets of the pairs of neighbours in a text, from the hashes of its words in order. A word and itself are one feature, whatever the word."""
+    mixed = (hashes ^ (hashes >> np.uint64(31))) * FACTOR
+    return np.where(mixed[:-1] == mixed[1:], SAME, _buckets(mixed[:-1] * MIXER + mixed[1:]))
 
 
-def back_references(at: np.ndarray) -> list[tuple[int, int]]:
-    """(bucket, count) of the words, given by number, that repeat the word some places before, and of the end mark."""
-    found = [(special(f"={d}"), int((at[d:] == at[:-d]).sum())) for d in range(1, BACK + 1)]
-    return [*[f for f in found if f[1]], (special("end"), PRIOR)]
+#: The buckets of the end mark and of a word next to itself.
+END, SAME = (xxhash.xxh32_intdigest(name, 3) % BUCKETS for name in ("end", "same"))
 
 
 @dataclass
@@ -73,9 +74,17 @@ class Model:
     output: np.ndarray
     bias: np.ndarray
 
-    def weights(self) -> tuple[np.ndarray, float]:
+    def weights(self) -> Weights:
         """What each feature adds to the logit of class 1 against class 0, and the bias of that."""
-        return self.vectors @ (self.output[:, 1] - self.output[:, 0]), float(self.bias[1] - self.bias[0])
+        return Weights(self.vectors @ (self.output[:, 1] - self.output[:, 0]), float(self.bias[1] - self.bias[0]))
+
+
+@dataclass
+class Weights:
+    """All that scoring needs of a model."""
+
+    features: np.ndarray
+    bias: float
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], steps: int = STEPS, rate: float = RATE) -> Model:
@@ -113,10 +122,10 @@ def feature_counts(text: Column) -> Column:
         found = []
         for x in texts:
             words, at = np.unique(np.array(x.as_buffer().to_pybytes().split() if x.is_valid else [], object), return_inverse=True)
-            features, owner = word_features(list(words))
+            features, owner, hashes = word_features(list(words))
             total = np.bincount(features, np.bincount(at, minlength=len(words))[owner], minlength=BUCKETS).astype(np.int32)
-            for bucket, n in back_references(at):
-                total[bucket] += n
+            total += np.bincount(bigrams(hashes[at]), minlength=BUCKETS).astype(np.int32)
+            total[END] += PRIOR
             buckets = np.flatnonzero(total).astype(np.int32)
             found.append((buckets.tobytes(), total[buckets].tobytes()))
         return pa.StructArray.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in range(2)], ["buckets", "counts"])
@@ -125,11 +134,11 @@ def feature_counts(text: Column) -> Column:
 
 
 class _Words(dict):
-    """Number of each word seen; ``settle`` gives new ones what they add to a document (``sums``) and their features (``sizes``)."""
+    """Number of each word seen; ``settle`` gives new ones what they add to a document (``sums``) and their features (``sizes``) and ``hashes``."""
 
     def __init__(self):
         self.new: list[bytes] = []
-        self.sums, self.sizes = np.zeros(0), np.zeros(0)
+        self.sums, self.sizes, self.hashes = np.zeros(0), np.zeros(0), np.zeros(0, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
         self.new.append(word)
@@ -138,9 +147,10 @@ class _Words(dict):
 
     def settle(self, weights: np.ndarray) -> None:
         if self.new:
-            features, owner = word_features(self.new)
+            features, owner, hashes = word_features(self.new)
             self.sums = np.concatenate((self.sums, np.bincount(owner, weights[features], len(self.new))))
             self.sizes = np.concatenate((self.sizes, np.bincount(owner, minlength=len(self.new))))
+            self.hashes = np.concatenate((self.hashes, hashes))
             self.new.clear()
 
 
@@ -160,9 +170,9 @@ class Scorer:
         words.settle(self.weights)
         out = np.empty(len(texts))
         for i, at in enumerate(numbered):
-            extra = back_references(at)
-            total = words.sums[at].sum() + sum(n * self.weights[bucket] for bucket, n in extra)
-            out[i] = total / (words.sizes[at].sum() + sum(n for _, n in extra))
+            pairs = bigrams(words.hashes[at])
+            total = words.sums[at].sum() + self.weights[pairs].sum() + PRIOR * self.weights[END]
+            out[i] = total / (words.sizes[at].sum() + len(pairs) + PRIOR)
         if len(words) > CACHED_WORDS:
             self.words = _Words()
         return 1 / (1 + np.exp(-(out + self.bias)))
@@ -172,9 +182,9 @@ class Scorer:
 _scorer: dict[str, Scorer] = {}
 
 
-def score_column(model: Model, text: Column) -> Column:
+def score_column(model: Weights, text: Column) -> Column:
     """Scores of whole texts."""
-    weights, bias = model.weights()
+    weights, bias = model.features, model.bias
     name = uuid.uuid4().hex
 
     @F.arrow_udf("double")
@@ -195,19 +205,31 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Model:
+def _trained(batches):
+    """One row of the weights trained on rows (quality, buckets, counts), which come in order, as far as MAX_TRAIN_BYTES goes."""
+    rows, size = [], 0
+    for batch in batches:
+        for quality, buckets, counts in zip(*(batch.column(c) for c in ("quality", "buckets", "counts"))):
+            taken = np.frombuffer(counts.as_py(), np.int32)
+            size += 12 * taken.size
+            if size <= MAX_TRAIN_BYTES:
+                rows.append((np.frombuffer(buckets.as_py(), np.int32), taken / taken.sum(), quality.as_py()))
+    found = train(rows).weights()
+    yield pa.RecordBatch.from_arrays([pa.array([found.features.tobytes()]), pa.array([found.bias])], names=["features", "bias"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Weights:
     """A model from the labelled rows that are not held out. docs: doc_id, text; labels: doc_id, quality."""
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(remainder(F.col("doc_id")) != 1)
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))  # of contradicting labels the stricter
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", feature_counts(F.col("text")).alias("f"))
-    found = sorted(rows.select("doc_id", "quality", "f.buckets", "f.counts").collect(), key=lambda r: (r["doc_id"], bytes(r["buckets"]), bytes(r["counts"])))
-    train_rows = []
-    for r in found:
-        counts = np.frombuffer(r["counts"], np.int32)
-        if counts.size:
-            train_rows.append((np.frombuffer(r["buckets"], np.int32), counts / counts.sum(), int(r["quality"])))
-    return train(train_rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("quality", F.xxhash64("doc_id", "text").alias("h"), feature_counts(F.col("text")).alias("f"))
+    # One id may have any number of rows, so they are bounded once more.
+    rows = rows.select("quality", "h", "f.buckets", "f.counts").orderBy("h", "buckets", "counts").limit(max_rows).select("quality", "buckets", "counts")
+    found = rows.mapInArrow(_trained, "features binary, bias double").collect()
+    if not found:  # no partition, no rows
+        return train([]).weights()
+    return Weights(np.frombuffer(found[0]["features"], np.float64), found[0]["bias"])
 
 
 def mark(docs: DataFrame, labels: DataFrame, trained_on: DataFrame | None = None) -> DataFrame:

@@ -5,8 +5,8 @@ share three tables over blocks of two words: how far the search may jump when a
 word (m - 1 if no window has the block), the windows that end with the block, and, within those, the first block.
 Where the jump is zero, the windows of the bucket are compared with the document's words one by one.
 
-The benchmark is read in blocks of at most about ``BLOCK_BYTES`` of text, so a matcher has a bounded size; with more than
-one block the documents pass each in turn and carry their hits along. Whole texts are searched.
+The benchmark is read in blocks of at most about ``BLOCK_BYTES`` of text, so a matcher has a bounded size. With more than
+one block the documents are read once for each, only hits are kept, and joined with the documents in the end. Whole texts are searched.
 
 Defined cases: a null or wordless text has no words and no hits; an item without words has no window; items that repeat an
 item_id count once; a null item_id is listed as an empty string; an empty benchmark leaves all documents clean.
@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import shared_table
+from canopy.llm.common import lookup, row_key, shared_table
 
 WINDOW, BLOCK_WORDS, BLOCK_BYTES = 13, 2, 8 << 20
-RESULT = "struct<n_words: long, spans: array<long>, items: array<string>>"
+RESULT = "struct<spans: array<long>, items: array<string>>"
+#: Words as the matcher has them, for whole texts in any case of letters.
+WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: Bytes of words after lower-casing: ASCII letters and digits, and all beyond ASCII. Others become spaces.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -76,81 +78,89 @@ class Matchers:
                 by_length.setdefault(length, {}).setdefault(tuple(words[i : i + length]), set()).add(item)
         self.each = [Matcher(windows, length) for length, windows in sorted(by_length.items())]
 
-    def scan(self, words: list[bytes], spans: list[int], items: list[str]) -> tuple[list[int], list[str]]:
-        """Adds this block's hits to merged spans (start, end, start, end, ...) and sorted item ids."""
-        found, named = [(spans[i], spans[i + 1]) for i in range(0, len(spans), 2)], set(items)
+    def scan(self, words: list[bytes]) -> tuple[list[int], list[str]]:
+        """Merged spans (start, end, start, end, ...) and sorted item ids of the hits."""
+        found: list[int] = []
+        named: set[str] = set()
         for matcher in self.each:
             for start, hit in matcher.search(words):
-                if found and found[-1][0] <= start <= found[-1][1]:  # matches come in order
-                    found[-1] = (found[-1][0], max(found[-1][1], start + matcher.length))
+                if found and found[-2] <= start <= found[-1]:  # matches of one length come in order
+                    found[-1] = max(found[-1], start + matcher.length)
                 else:
-                    found.append((start, start + matcher.length))
+                    found += [start, start + matcher.length]
                 named |= hit
-        merged: list[int] = []
-        for start, end in sorted(found):
-            if merged and start <= merged[-1]:
-                merged[-1] = max(merged[-1], end)
-            else:
-                merged += [start, end]
-        return merged, sorted(named)
+        return merged([found]), sorted(named)
 
 
-def _scanned(block: list[tuple[str, bytes]], window: int, text: Column, before: Column | None) -> Column:
-    built: list[Matchers] = []  # filled once in each Python worker
+def merged(parts: list[list[int]]) -> list[int]:
+    """The union of some spans, in order."""
+    out: list[int] = []
+    for start, end in sorted((p[i], p[i + 1]) for p in parts for i in range(0, len(p), 2)):
+        if out and start <= out[-1]:
+            out[-1] = max(out[-1], end)
+        else:
+            out += [start, end]
+    return out
 
-    def scan(texts: pa.Array, earlier: pa.Array | None) -> pa.Array:
-        if not built:
-            built.append(Matchers(block, window))
-        out = []
-        for i, text in enumerate(texts):
-            words = words_of(text.as_buffer().to_pybytes() if text.is_valid else None)
-            old = earlier[i].as_py() if earlier is not None else {"spans": [], "items": []}
-            spans, items = built[0].scan(words, old["spans"], old["items"])
-            out.append((len(words), spans, items))
-        kinds = pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())
-        return pa.StructArray.from_arrays([pa.array([x[k] for x in out], kinds[k]) for k in range(3)], ["n_words", "spans", "items"])
 
-    if before is None:
+def _hits(rows: list[tuple[list[int], list[str]]]) -> pa.Array:
+    kinds = pa.list_(pa.int64()), pa.list_(pa.string())
+    return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(2)], ["spans", "items"])
 
-        @F.arrow_udf(RESULT)
-        def first(texts: pa.Array) -> pa.Array:
-            return scan(texts, None)
 
-        return first(text)
+def _scanned(block: list[tuple[str, bytes]], window: int, text: Column) -> Column:
+    built: list[Matchers] = []  # filled once in each Python worker
 
     @F.arrow_udf(RESULT)
-    def later(texts: pa.Array, earlier: pa.Array) -> pa.Array:
-        return scan(texts, earlier)
+    def scan(texts: pa.Array) -> pa.Array:
+        if not built:
+            built.append(Matchers(block, window))
+        return _hits([built[0].scan(words_of(x.as_buffer().to_pybytes() if x.is_valid else None)) for x in texts])
+
+    return scan(text)
 
-    return later(text, before)
+
+@F.arrow_udf(RESULT)
+def _joined(parts: pa.Array) -> pa.Array:
+    rows = [(merged([p["spans"] for p in x]), sorted({i for p in x for i in p["items"]})) for x in parts.to_pylist()]
+    return _hits(rows)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with column ``_hits``: n_words, spans (merged word ranges that occurring windows cover) and items."""
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    """docs with column ``_hits``: spans (merged word ranges that occurring windows cover) and items."""
+    listed = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("text")).distinct()
+    size = listed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
-    listed = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("text"))
     listed = listed.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
-    for b in range(blocks):
-        block = [(r["item"], bytes(r["text"] or b"")) for r in listed.where(F.col("block") == b).collect()]
-        docs = docs.withColumn("_hits", _scanned(block, window, F.col("text"), F.col("_hits") if b else None))
-        if b + 1 < blocks:
-            docs = shared_table(docs, "hits")
-    return docs
+    each = lambda b: [(r["item"], bytes(r["text"] or b"")) for r in listed.where(F.col("block") == b).collect()]
+    if blocks == 1:
+        return docs.withColumn("_hits", _scanned(each(0), window, F.col("text")))
+    own = [F.col(f"`{c}`").alias(f"_own_{i}") for i, c in enumerate(docs.columns)]
+    k1, k2 = row_key("text", "text")
+    rows = docs.select(*own, "text").withColumns({"_k1": k1, "_k2": k2})
+    parts = [shared_table(rows.select("_k1", "_k2", _scanned(each(b), window, F.col("text")).alias("h")).where(F.size("h.items") > 0).groupBy("_k1", "_k2").agg(F.first("h").alias("h"), F.count("*").alias("n")), "hits") for b in range(blocks)]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    found = found.groupBy("_k1", "_k2").agg(_joined(F.collect_list("h")).alias("_hits"), F.max("n").alias("n"))
+    spread = [F.monotonically_increasing_id()]
+    marked = lookup(rows.drop("text"), shared_table(found, "all-hits"), ["_k1", "_k2"], "n", docs.count(), spread)
+    none = F.expr("named_struct('spans', cast(array() as array<long>), 'items', cast(array() as array<string>))")
+    return marked.select(*[F.col(f"_own_{i}").alias(c) for i, c in enumerate(docs.columns)], F.coalesce("_hits", none).alias("_hits"))
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256 and contaminated (5% of the words or more are hit)."""
     n_hit = F.expr("aggregate(sequence(1, size(_hits.spans) div 2), 0L, (a, i) -> a + _hits.spans[2 * i - 1] - _hits.spans[2 * i - 2])")
     n_hit = F.when(F.size("_hits.spans") == 0, F.lit(0).cast("long")).otherwise(n_hit)
-    found = scan(docs, benchmark, window).withColumn("n_words", F.col("_hits.n_words")).withColumn("n_hit", n_hit)
+    found = scan(docs, benchmark, window).withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")).withColumn("n_hit", n_hit)
     found = found.withColumn("n_items", F.size("_hits.items").cast("long"))
     found = found.withColumn("items_sha256", F.sha2(F.array_join("_hits.items", ","), 256))
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).drop("_hits")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns."""
+    """The rows of docs in which no window of the benchmark occurs, with all their columns. One whole passage is enough, however long the text around it."""
     own = [F.col(f"`{c}`").alias(f"_own_{i}") for i, c in enumerate(docs.columns)]
-    clean = mark(docs.select("text", *own), benchmark, window).where(~F.col("contaminated"))
+    clean = scan(docs.select("text", *own), benchmark, window).where(F.size("_hits.items") == 0)
     return clean.select(*[F.col(f"_own_{i}").alias(c) for i, c in enumerate(docs.columns)])
