@@ -94,6 +94,21 @@ def lookup(rows: DataFrame, groups: DataFrame, keys: list[str], n_col: str, tota
     return found.select(*rows.columns, "_deal", *[F.col(f"_found.{c}").alias(c) for c in values])
 
 
+def numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Stored table: rows plus column ``name``, their numbers from 0 in the order of keys (nulls first). Rows equal in all keys are numbered in any order, over several partitions."""
+    order = [*keys, "_tie"]
+    ordered = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    stored = shared_table(ordered.drop("_tie").withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    part = F.call_function("shiftright", F.col("_id"), F.lit(33)).cast("int")  # ids hold the partition above 33 bits of the row's number in it
+    counts = sorted(stored.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # one row for each partition
+    starts, at = [0] * (counts[-1]["part"] + 1 if counts else 1), 0
+    for r in counts:
+        starts[r["part"]] = at
+        at += r["n"]
+    start = F.from_json(F.lit(str(starts)), "array<bigint>")[part]
+    return stored.withColumn(name, start + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id")
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
     """128 bits of (doc_id, text), never null; rows that share them are interchangeable."""
     return F.xxhash64(F.col(doc_id), F.col(text)), F.xxhash64(F.lit("canopy"), F.col(text), F.col(doc_id))

@@ -120,10 +120,14 @@ def _scanned(block: list[tuple[str, bytes]], window: int, text: Column) -> Colum
     return scan(text)
 
 
-@F.arrow_udf(RESULT)
-def _joined(parts: pa.Array) -> pa.Array:
-    rows = [(merged([p["spans"] for p in x]), sorted({i for p in x for i in p["items"]})) for x in parts.to_pylist()]
-    return _hits(rows)
+def _joined(parts: Column) -> Column:
+    """One result of those of several blocks."""
+
+    @F.arrow_udf(RESULT)
+    def join(lists: pa.Array) -> pa.Array:
+        return _hits([(merged([p["spans"] for p in x]), sorted({i for p in x for i in p["items"]})) for x in lists.to_pylist()])
+
+    return join(parts)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -142,7 +146,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    found = found.groupBy("_k1", "_k2").agg(_joined(F.collect_list("h")).alias("_hits"), F.max("n").alias("n"))
+    found = found.groupBy("_k1", "_k2").agg(F.collect_list("h").alias("h"), F.max("n").alias("n")).select("_k1", "_k2", "n", _joined(F.col("h")).alias("_hits"))
     spread = [F.monotonically_increasing_id()]
     marked = lookup(rows.drop("text"), shared_table(found, "all-hits"), ["_k1", "_k2"], "n", docs.count(), spread)
     none = F.expr("named_struct('spans', cast(array() as array<long>), 'items', cast(array() as array<string>))")

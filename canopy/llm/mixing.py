@@ -1,12 +1,12 @@
 """Mixing sources to target weights by systematic sampling.
 
 Sizes are words. Each source gets a target of words from its weight, at most ``MAX_COPIES`` times its size, the excess going to the others by weight.
-A document is expected target / source size times; within a source these expectations are summed up along the documents, one
-random offset is added, and a document is emitted once for each whole number its interval crosses. Documents are
-summed up in order of size classes (16 to each doubling), which keeps the words taken within about the largest document of the target.
+A document is expected target / source size times; within a source these expectations are summed up along the documents in order of size, one
+random offset is added, and a document is emitted once for each whole number its interval crosses. As sums along the order stay within one copy of what is
+expected, the words taken from a source differ from its target by no more than the size of its largest document.
 
-The prefix sums are distributed: rows are numbered inside buckets (source, size class, hash) of about ``BUCKET_ROWS`` rows, and the
-bucket counts are summed up first over the hashes of a class, then over the classes of a source. Order and offset come from
+All expectations of a source are equal, so the prefix sums are row numbers times the expectation. Rows are numbered over all sources by one range-partitioned sort, which splits any source and any size;
+sources are a table of any length, ranked alike, and their targets come from rounds of sums over it. Order and offset come from
 hashes with a seed, so reruns agree and nothing depends on how rows are partitioned.
 
 Defined cases: null and blank texts have size 0 and are never short-changed: they take 0 words; a null source is a source of its own, listed last; a source
@@ -17,37 +17,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from canopy.llm.common import emit, literal_table, row_key, shared_table, word_count
+from canopy.llm.common import emit, lookup, numbered, row_key, shared_table, word_count
 
-WEIGHTS, MAX_COPIES, BUCKET_ROWS, SEED = (1, 2, 3), 3, 50_000, "mix-1"
-#: Sources are listed on the driver and broadcast (a few MB at most); more are refused.
-MAX_SOURCES = 100_000
-
-
-def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES) -> dict[str | None, float]:
-    """Words to take from each source: all words shared by weight, none above ``most`` times its size."""
-    listed = sorted(sizes, key=lambda x: (x[0] is None, (x[0] or "").encode("utf-8")))
-    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(listed)}
-    cap = {s: most * n for s, n in listed}
-    left, open_, found = sum(n for _, n in listed), [s for s, _ in listed], {}
-    while open_:
-        of = sum(weight[s] for s in open_)
-        full = [s for s in open_ if left * weight[s] >= cap[s] * of]
-        if not full:
-            return found | {s: left * weight[s] / of for s in open_}
-        for s in full:
-            found[s] = float(cap[s])
-            left -= cap[s]
-        open_ = [s for s in open_ if s not in found]
-    return found
-
-
-def size_class(size: Column) -> Column:
-    """A whole number that grows with size, 16 to each doubling."""
-    bits = F.length(F.bin(size))
-    return (bits * 32 + F.when(bits > 5, F.call_function("shiftright", size, bits - 5)).otherwise(size)).cast("int")
+WEIGHTS, MAX_COPIES, SEED = (1, 2, 3), 3, "mix-1"
 
 
 def unit_hash(*parts: Column) -> Column:
@@ -55,44 +28,46 @@ def unit_hash(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
 
 
+def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
+    """sources (source, source_size) with target: the words to take from each, all words shared by weight, none above ``most`` times its size.
+
+    What a full source leaves is reshared: a round sums up what full sources take and the weights of the others, until no more are full.
+    """
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("_i") % len(weights) + 1).cast("int")).cast("long")
+    listed = numbered(sources.withColumn("_last", F.col("source").isNull()), ["_last", "source"], "_i").drop("_last")
+    listed = listed.select(*sources.columns, weight.alias("_w"), (F.col("source_size") * most).alias("_cap"))
+    whole = lambda value, digits: (F.lit(str(value)) if isinstance(value, int) else value).cast(f"decimal({digits},0)")
+    total, of = listed.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("_w"), F.lit(0))).first()
+    left, n_full = total, 0
+    while True:
+        full = whole(left, 19) * whole(F.col("_w"), 18) >= whole(F.col("_cap"), 19) * whole(of, 18)
+        n, taken, rest = listed.agg(F.count_if(full), F.coalesce(F.sum(F.when(full, F.col("_cap"))), F.lit(0)), F.coalesce(F.sum(F.when(~full, F.col("_w"))), F.lit(0))).first()
+        if n == n_full or not rest:
+            break
+        left, of, n_full = total - taken, rest, n
+    shared = (F.lit(left).cast("long") * F.col("_w")).cast("double") / F.lit(max(1, of)).cast("double")
+    return listed.select(*sources.columns, F.when(full, F.col("_cap").cast("double")).otherwise(shared).alias("target"))
+
+
 def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """sized (doc_id, source, size, ...) with source_size, target and copies."""
-    totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    goal = targets([(r["source"], r["size"]) for r in totals], weights)
-    buckets = max(1, -(-sum(r["n"] for r in totals) // BUCKET_ROWS))
-    known = literal_table(sized.sparkSession, [(_name(r["source"]), r["size"], goal[r["source"]]) for r in totals], "_src string, source_size long, target double")
-    src = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))
+    named = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))
     order = unit_hash(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = sized.withColumns({"_src": src, "_c": size_class(F.col("size")), "_h": order, "_b": F.pmod(order, F.lit(buckets))})
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_src", "_c", "_b").orderBy("size", "_h", F.col("doc_id").asc_nulls_last())))
-    placed = rows.join(_starts(rows), ["_src", "_c", "_b"]).join(F.broadcast(known), "_src")
-    offset = unit_hash(F.lit(SEED), F.col("_src")) / F.lit(float(1 << 32))
+    rows = numbered(sized.withColumns({"_src": named, "_h": order}), ["_src", "size", "_h", "doc_id"], "_at")
+    known = shared_table(rows.groupBy("_src").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("_n"), F.min("_at").alias("_start")), "sources")
+    goal = targets(known, weights)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    place = F.col("_start") + F.col("_nth")
-    copies = F.floor(rate * place + offset) - F.floor(rate * (place - 1) + offset)
-    return placed.withColumn("copies", copies).select(*sized.columns, "source_size", "target", "copies")
-
-
-def _name(source: str | None) -> str:
-    return "n" if source is None else "s" + source
-
-
-def _starts(rows: DataFrame) -> DataFrame:
-    """(_src, _c, _b, _start): how many rows of the source come before each bucket."""
-    before = (Window.unboundedPreceding, -1)
-    counts = rows.groupBy("_src", "_c", "_b").agg(F.count("*").alias("_n"))
-    of_source = F.sum("_n").over(Window.partitionBy("_src").orderBy("_c").rowsBetween(*before))
-    classes = counts.groupBy("_src", "_c").agg(F.sum("_n").alias("_n")).select("_src", "_c", F.coalesce(of_source, F.lit(0)).alias("_base"))
-    of_class = F.sum("_n").over(Window.partitionBy("_src", "_c").orderBy("_b").rowsBetween(*before))
-    joined = counts.withColumn("_in", F.coalesce(of_class, F.lit(0))).join(classes, ["_src", "_c"])
-    return joined.select("_src", "_c", "_b", (F.col("_base") + F.col("_in")).alias("_start"))
+    offset = unit_hash(F.lit(SEED), F.col("_src")) / F.lit(float(1 << 32))
+    goal = shared_table(goal.select("_src", "source_size", "target", "_n", "_start", rate.alias("_rate"), offset.alias("_offset")), "targets")
+    found = lookup(rows, goal, ["_src"], "_n", rows.count(), [F.col("_at")])
+    place = F.col("_at") - F.col("_start")
+    copies = F.floor(F.col("_rate") * (place + 1) + F.col("_offset")) - F.floor(F.col("_rate") * place + F.col("_offset"))
+    return found.withColumn("copies", copies).select(*sized.columns, "source_size", "target", "copies")
 
 
 def mark(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) of every row of docs."""
-    sized = shared_table(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     return plan(sized, weights).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
@@ -100,4 +75,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
     k1, k2 = row_key()
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), k1.alias("_k1"), k2.alias("_k2"))
-    return emit(docs, plan(shared_table(sized, "sizes"), weights))
+    return emit(docs, plan(sized, weights))

@@ -52,7 +52,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its shard and place."""
-    return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +81,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
     return {
+        "op2_mixing": r"""
+            WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+                 s AS (SELECT source, sum(size)::BIGINT AS n, count(*) AS rows FROM d GROUP BY source),
+                 w AS (SELECT *, [1, 2, 3][1 + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1)::INT % 3] AS w, 3 * n AS cap FROM s),
+                 -- Water filling: sources by cap a weight, each full if what those before leave would fill it.
+                 f AS (SELECT *, (sum(n) OVER ())::HUGEINT - coalesce(sum(cap) OVER o, 0) AS left_, (sum(w) OVER ())::HUGEINT - coalesce(sum(w) OVER o, 0) AS of_
+                       FROM w WINDOW o AS (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+                 g AS (SELECT *, left_ * w >= cap::HUGEINT * of_ AS is_full FROM f),
+                 t AS (SELECT sum(n) - sum(cap) FILTER (is_full) AS l1, sum(n) AS l0, sum(w) FILTER (NOT is_full) AS of_ FROM g),
+                 k AS (SELECT g.source, n AS source_size, CASE WHEN is_full THEN cap::DOUBLE ELSE (coalesce(l1, l0) * w)::DOUBLE / t.of_::DOUBLE END AS target,
+                              ('0x' || md5('mix-1|' || CASE WHEN g.source IS NULL THEN 'n' ELSE 's' || g.source END)[1:8])::BIGINT / 4294967296.0::DOUBLE AS o FROM g, t),
+                 p AS (SELECT doc_id, size, source_size, target, o, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+                              row_number() OVER (PARTITION BY d.source ORDER BY size, ('0x' || md5('mix-1|' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT, doc_id) AS nth
+                       FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source),
+                 c AS (SELECT *, (floor(rate * nth + o) - floor(rate * (nth - 1) + o))::BIGINT AS copies FROM p)
+            SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c""",
         "op1_line_dedup": r"""
             WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
                  e AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM l),

@@ -1,30 +1,30 @@
 """Sharding by fixed virtual slots and a versioned slot-to-shard map.
 
 Records are hashed by their text into ``SLOTS`` slots, so equal texts share a slot. Rows and bytes are aggregated per slot, and the slots are
-placed on shards by size, largest first, each on the shard that holds the fewest bytes. A slot that alone would fill more than half of a shard's fair share is
-hashed once more, by doc_id, into that many ``parts`` (a group of copies can be any size). The map (version, slot, part, shard) is a
-small table of its own; ``rebalance`` edits it for new sizes or another number of shards, moving as few slots as
+placed on shards by size, largest first, each on the shard that holds the fewest bytes. A slot that alone would fill more than half of a shard's fair share (of 8 shards: more than a sixteenth of all bytes) is
+hashed once more, by doc_id, into that many ``parts``, as a group of copies can be any size; only there equal texts may lie in different shards. The map (version, slot, part, shard) is a
+small stored table, from which every assignment is read; ``rebalance`` edits it for new sizes or another number of shards, moving as few slots as
 it can, and gives the next version. The law is ``bytes``: shards are near equal in size.
 
-Within a shard the records are numbered without gaps from 0: rows are counted in pieces of each slot (no piece has more than about 1 / PIECES of all rows), the counts of the
-pieces are summed up in map order, and rows are numbered inside their piece. All steps on records are DataFrame functions; the driver only sees
-the slot table, whose size is fixed.
+Within a shard the records are numbered without gaps from 0: all records are numbered by one range-partitioned sort by shard, slot and part, which splits any slot, less the first number of
+their shard. All steps on records are DataFrame functions; the driver only sees the slot table, whose size is fixed.
 
-Defined cases: a null text has size 1 and the checksum of an empty text; null ids hash like any value; repeated rows are placed alike and
+Defined cases: a null text has size 1 and the checksum of an empty text; records without an id are dealt to the parts of a split slot in turn; repeated rows are placed alike and
 numbered apart; an empty table gives an empty result; further columns are carried through, and one with the name of a result column gives way to it.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from canopy.llm.common import literal_table, shielded
+from canopy.llm.common import literal_table, numbered, shared_dir
 
-SLOTS, SHARDS, PIECES = 4096, 8, 4096
+SLOTS, SHARDS = 4096, 8
 MAP_SCHEMA = "version int, slot int, part int, shard int"
 
 Place = dict[tuple[int, int], int]
@@ -103,40 +103,52 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> tupl
     return version, {(r["slot"], r["part"]): r["shard"] for r in stored.where(F.col("version") == version).collect()}
 
 
+def current_map(spark: SparkSession, sizes: dict[int, tuple[int, int]], shards: int, path: str) -> tuple[int, Place]:
+    """The stored map that holds for these sizes: the latest version at path if it fits, else the next version, edited from it; the first one where there is none."""
+    try:
+        version, old = load_map(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        save_map(spark, place(sizes, shards), path, 1)
+        return load_map(spark, path)
+    new = rebalance(old, sizes, shards)
+    if new != old:
+        save_map(spark, new, path, version + 1)
+    return load_map(spark, path)
+
+
 def _ints(values: list[int]) -> Column:
     return F.from_json(F.lit(str(values)), "array<int>")
 
 
-def assign(docs: DataFrame, placed: Place | None = None, shards: int = SHARDS) -> DataFrame:
-    """docs with size, text_crc32, law, shard, slot (the number within the shard), grown_shard (null) and virtual_slot, under a stored map or one made for docs."""
-    return shielded(docs, ["doc_id", "text"], lambda d: _assign(d, placed, shards))
+RESULT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot")
+
+
+def assign(docs: DataFrame, shards: int = SHARDS, map_path: str | None = None, keep_text: bool = True) -> DataFrame:
+    """docs with size, text_crc32, law, shard, slot (the number within the shard), grown_shard (null) and virtual_slot, under the map stored at map_path (by default a new one)."""
+    spark = docs.sparkSession
+    path = map_path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    carried = [c for c in docs.columns if c != "doc_id" and c.lower() not in RESULT and (keep_text or c != "text")]
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)])
+    rows = numbered(_placed(docs.select("doc_id", "text", rest.alias("_rest")), shards, path), ["_shard", "_slot", "_part", "_crc", "_size", "doc_id"], "_at")
+    firsts = {r["_shard"]: r["first"] for r in rows.groupBy("_shard").agg(F.min("_at").alias("first")).collect()}  # one row for each shard
+    start = F.from_json(F.lit(str([firsts.get(s, 0) for s in range(shards)])), "array<bigint>")[F.col("_shard")]
+    own = [F.col("doc_id") if c == "doc_id" else F.col(f"_rest.c{carried.index(c)}").alias(c) for c in docs.columns if c == "doc_id" or c in carried]
+    made = [F.col("_size"), F.col("_crc"), F.lit("bytes"), F.col("_shard"), F.col("_at") - start, F.lit(None).cast("int"), F.col("_slot")]
+    return rows.select(*own, *[m.alias(name) for m, name in zip(made, RESULT, strict=True)])
 
 
-def _assign(docs: DataFrame, placed: Place | None, shards: int) -> DataFrame:
-    sizes = slot_sizes(docs)
-    placed = place(sizes, shards) if placed is None else placed
+def _placed(docs: DataFrame, shards: int, path: str) -> DataFrame:
+    """docs (doc_id, text, _rest) with _size, _crc, _slot, _part and _shard in place of text."""
+    _, placed = current_map(docs.sparkSession, slot_sizes(docs), shards, path)
     parts = [0] * SLOTS
     for s, _ in placed:
         parts[s] += 1
-    firsts = [0] * SLOTS
-    flat: list[int] = []
+    firsts, flat = [0] * SLOTS, []
     for s in range(SLOTS):
         firsts[s] = len(flat)
         flat += [placed[s, p] for p in range(parts[s])]
-    total = max(1, sum(n for n, _ in sizes.values()))
-    pieces = [-(-sizes.get(s, (0, 0))[0] * PIECES // total) or 1 for s in range(SLOTS)]
-    by_id = F.xxhash64(F.col("doc_id"), F.lit("part"))
-    own = [F.col(f"`{c}`").alias(f"_own_{i}") for i, c in enumerate(docs.columns)]
-    rows = keyed(docs.select("doc_id", "text", *own)).withColumn("_part", F.pmod(by_id, _ints(parts)[F.col("_slot")]).cast("int"))
-    rows = rows.withColumn("_shard", _ints(flat)[_ints(firsts)[F.col("_slot")] + F.col("_part")])
-    rows = rows.withColumn("_piece", F.pmod(F.xxhash64(F.col("doc_id"), F.lit("piece")), _ints(pieces)[F.col("_slot")]).cast("int")).drop("text")
-    unit = ["_shard", "_slot", "_part", "_piece"]
-    counts = rows.groupBy(*unit).agg(F.count("*").alias("_n"))  # at most SLOTS + PIECES + parts rows
-    before = F.sum("_n").over(Window.partitionBy("_shard").orderBy("_slot", "_part", "_piece").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(*unit, F.coalesce(before, F.lit(0)).alias("_start"))
-    numbered = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*unit).orderBy(F.col("doc_id").asc_nulls_last(), "_crc", "_size")))
-    back = [F.col(f"_own_{i}").alias(c) for i, c in enumerate(docs.columns)]
-    return numbered.join(F.broadcast(starts), unit).select(
-        *back, F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("_shard").alias("shard"),
-        (F.col("_start") + F.col("_nth") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("_slot").alias("virtual_slot"),
-    )
+    by_id = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("doc_id", F.lit("part")))
+    rows = keyed(docs).withColumn("_part", F.pmod(by_id, _ints(parts)[F.col("_slot")]).cast("int")).drop("text")
+    return rows.withColumn("_shard", _ints(flat)[_ints(firsts)[F.col("_slot")] + F.col("_part")])
