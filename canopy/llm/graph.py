@@ -19,7 +19,8 @@ def _lowest(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame, lowest: DataFrame, total: int) -> DataFrame:
     """Every node above u moves from u to the smallest node around u."""
-    hubs = edges.groupBy("lo").agg(F.count("*").alias("uses")).join(lowest.select(F.col("hi").alias("lo"), "low"), "lo")
+    # Roots, which have no lower node, are the usual hubs.
+    hubs = edges.groupBy("lo").agg(F.count("*").alias("uses")).join(lowest.select(F.col("hi").alias("lo"), "low"), "lo", "left")
     found = lookup(edges, shared_table(hubs, "hubs"), ["lo"], "uses", total, [F.col("hi")])
     return found.select("hi", F.coalesce("low", "lo").alias("lo")).distinct()
 
@@ -41,7 +42,7 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     for _ in range(max_rounds):
         lowest = _lowest(edges)
         total = edges.count()
-        links = edges.join(lowest.select(F.col("hi").alias("lo")), "lo", "left_semi")
+        links = edges.select("lo").distinct().join(lowest.select(F.col("hi").alias("lo")), "lo", "left_semi")
         if lowest.count() == total and links.limit(1).count() == 0:
             nodes = edges.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
             return nodes.unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())

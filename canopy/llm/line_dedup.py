@@ -3,18 +3,19 @@
 Texts are split at LF. Lines that occur once separate; the others form sequences of line IDs, one or more a document.
 Ranks of the suffixes by their first 1, 2, 4, ... lines come from prefix doubling: a suffix is sorted by its rank and
 the rank of the suffix 2^k lines on, every round being a range-partitioned sort whose rank offsets are
-summed up over partitions. The longest-common-prefix interval of depth d around a suffix, all suffixes that share its first d
+summed up over partitions. The last of these sorts is the suffix array, cut at the greatest depth that counts. The longest-common-prefix interval of depth d around a suffix, all suffixes that share its first d
 lines, is the set with the same two ranks at 2^k <= d < 2^(k+1), at its start and d - 2^k lines on.
 
-The depth that counts for a suffix is the smallest number of lines that hold ``MIN_WORDS`` words. In each such interval the
-earliest occurrence (by doc_id, then line) stays, and the lines of all later ones are deleted; consecutive occurrences with one offset to
-their first copy make up a maximal repeated run. Doubling stops when the deepest of these depths is reached.
+A line is deleted if it lies in a run of consecutive lines with at least ``MIN_WORDS`` words that occurs earlier (by doc_id, then line). Any such run, maximal ones too, is covered
+by the shortest runs of so many words that start with one of its lines or end with one of them and lie within it, so only the intervals of these depths matter: in each the
+earliest occurrence stays, and the lines of all later ones are deleted; consecutive occurrences with one offset to
+their first copy are one run. Doubling stops when the deepest of these depths is reached.
 
 Hot lines and passages: all rankings are sorts with the position as last key, so equal keys spread over partitions;
 counts combine on the map side; and rows learn about their group by ``common.lookup``.
 
 Defined cases: a null text has no lines and stays null; rows that repeat a doc_id and text are one document and give equal rows;
-null ids come last; a run within one document counts too; an empty table gives an empty result.
+null ids come last, ids of any type are in their order; a run within one document counts too; an empty table gives an empty result. Lines are equal when two 64-bit hashes of them are.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from canopy.llm.common import lookup, row_key, shared_table, shielded, word_count
+from canopy.llm.common import lookup, numbered, row_key, shared_table, shielded, word_count
 
 MIN_WORDS = 50
-_DOC_BITS, _LINE_BITS = 32, 31
+_LINE_BITS = 31
 
 
 def _numbered(batches, keys: list[str]):
@@ -81,23 +82,26 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 
 def sequences(lines: DataFrame, min_words: int) -> DataFrame:
-    """Stored (d, line, h1, h2, left, need): the documents numbered in order, the lines to the end of the sequence, and the depth that counts (null: not reached)."""
+    """Stored (d, line, h1, h2, left, need, back): the documents numbered in order, the lines to the end of the sequence, and the depths that count, of the shortest runs of enough words that start or end with the line (null: none)."""
     docs = lines.groupBy("_k1", "_k2").agg(F.min("doc_id").alias("doc_id"))
-    docs = docs.withColumns({"_null": F.col("doc_id").isNull().cast("long"), "doc_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))})
-    docs = ranked(docs.select("_null", "doc_id", "_k1", "_k2"), ["_null", "doc_id", "_k1", "_k2"], [], "d").select("_k1", "_k2", "d")
+    docs = numbered(docs.withColumn("_null", F.col("doc_id").isNull()), ["_null", "doc_id", "_k1", "_k2"], "d").select("_k1", "_k2", "d")
     doc = Window.partitionBy("_k1", "_k2")
     rows = lines.withColumn("g", F.col("line") - F.row_number().over(doc.orderBy("line")))
     run = Window.partitionBy("_k1", "_k2", "g")
     rows = rows.withColumn("upto", F.sum("words").over(run.orderBy("line"))).withColumn("left", F.max("line").over(run) - F.col("line") + 1)
-    # Lines and wanted totals in one descending order: the last line seen is the first that reaches the total.
-    ends = rows.select("_k1", "_k2", "g", F.col("upto").alias("key"), F.lit(1).alias("kind"), "line", "h1", "h2", "left")
-    asks = rows.select("_k1", "_k2", "g", (F.col("upto") - F.col("words") + min_words).alias("key"), F.lit(0).alias("kind"), "line", "h1", "h2", "left")
-    order = run.orderBy(F.col("key").desc(), F.col("kind").desc(), F.col("line").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    seen = ends.unionByName(asks).withColumn("end", F.last(F.when(F.col("kind") == 1, F.col("line")), ignorenulls=True).over(order)).where("kind = 0")
-    # A depth below one can't be: a total is reached by the line itself at the earliest.
-    need = F.when(F.col("end").isNotNull(), F.greatest(F.col("end") - F.col("line") + 1, F.lit(1)))
-    joined = seen.withColumn("need", need).join(docs, ["_k1", "_k2"])
-    return shared_table(joined.select("d", "line", "_k1", "_k2", "h1", "h2", "left", "need"), "sequences")
+    # Lines and wanted totals in one order: the last line seen is the first, or last, that reaches the total.
+    kinds = [
+        ("need", F.col("upto"), F.col("upto") - F.col("words") + min_words, run.orderBy(F.col("key").desc(), F.col("mark").desc(), F.col("line").desc())),
+        ("back", F.col("upto") - F.col("words"), F.col("upto") - min_words, run.orderBy(F.col("key"), F.col("mark").desc(), F.col("line"))),
+    ]
+    for name, reached, wanted, order in kinds:
+        both = F.array(F.struct(reached.alias("key"), F.lit(True).alias("mark")), F.struct(wanted.alias("key"), F.lit(False).alias("mark")))
+        found = F.last(F.when(F.col("mark"), F.col("line")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.select("*", F.inline(both)).withColumn("found", found).where(~F.col("mark"))
+        # A depth below one can't be: a total is reached by the line itself at the earliest.
+        depth = F.col("found") - F.col("line") if name == "need" else F.col("line") - F.col("found")
+        rows = rows.withColumn(name, F.when(F.col("found").isNotNull(), F.greatest(depth + 1, F.lit(1)))).drop("found", "key", "mark")
+    return shared_table(rows.join(docs, ["_k1", "_k2"]).select("d", "line", "_k1", "_k2", "h1", "h2", "left", "need", "back"), "sequences")
 
 
 def suffix_ranks(rows: DataFrame, depth: int) -> tuple[DataFrame, int]:
@@ -114,13 +118,19 @@ def suffix_ranks(rows: DataFrame, depth: int) -> tuple[DataFrame, int]:
 
 def later_copies(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame | None:
     """(_k1, _k2, line, need, offset) of every start of a later occurrence; offset is the distance to the first."""
-    depth = rows.agg(F.max("need")).first()[0]
+    depth = rows.agg(F.max(F.greatest("need", "back"))).first()[0]
     if depth is None:
         return None
     ranks, levels = suffix_ranks(rows, depth)
     level = F.length(F.bin(F.col("need").cast("long"))) - 1
     every = F.array(*[F.col(f"r{i}") for i in range(levels + 1)])
-    starts = ranks.where("need IS NOT NULL").select("d", "line", "_k1", "_k2", "need", level.alias("k"), every[level].alias("a"))
+    at = ["d", "line", "_k1", "_k2"]
+    runs = ranks.where("need IS NOT NULL").select(*at, "need", every.alias("here"))
+    ends = ranks.where("back IS NOT NULL").select("d", (F.col("line") - F.col("back") + 1).alias("line"), F.col("back").alias("need"))
+    # A run that ends with a line and is not the shortest that starts with its first one is looked at as well.
+    first = ranks.select(*at, F.col("need").alias("own"), every.alias("here"))
+    runs = runs.unionByName(ends.join(first, ["d", "line"]).where("need > own").drop("own"))
+    starts = runs.select(*at, "need", level.alias("k"), F.col("here")[level].alias("a"))
     starts = starts.withColumn("other", F.col("line") + F.col("need") - F.call_function("shiftleft", F.lit(1), F.col("k")))
     ends = ranks.select("d", F.col("line").alias("other"), every.alias("ranks"))
     place = F.call_function("shiftleft", F.col("d"), F.lit(_LINE_BITS)) + F.col("line")
@@ -134,7 +144,8 @@ def later_copies(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame | Non
 def maximal_runs(later: DataFrame) -> DataFrame:
     """(_k1, _k2, start, end): occurrences with one offset on consecutive lines are one run; ends are inclusive."""
     near = Window.partitionBy("_k1", "_k2", "offset").orderBy("line")
-    rows = later.withColumn("g", F.col("line") - F.row_number().over(near))
+    rows = later.groupBy("_k1", "_k2", "line", "offset").agg(F.max("need").alias("need"))
+    rows = rows.withColumn("g", F.col("line") - F.row_number().over(near))
     return rows.groupBy("_k1", "_k2", "offset", "g").agg(F.min("line").alias("start"), F.max(F.col("line") + F.col("need") - 1).alias("end")).drop("offset", "g")
 
 

@@ -102,7 +102,9 @@ def oracle_sql() -> dict[str, str]:
                  e AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM l),
                  w AS (SELECT *, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) OVER (PARTITION BY doc_id ORDER BY i) AS upto,
                               len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM e),
-                 s AS (SELECT a.doc_id, a.i, min(b.i) AS j FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.n >= 50 GROUP BY ALL),
+                 -- The shortest runs of 50 words that start or end with a line; every longer run is covered by such runs.
+                 s AS (SELECT a.doc_id, a.i, min(b.i) AS j FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.n >= 50 GROUP BY ALL
+                       UNION SELECT a.doc_id, max(b.i), a.i AS j FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.i <= a.i AND a.upto - b.upto + b.n >= 50 GROUP BY ALL),
                  p AS (SELECT s.doc_id, s.i, s.j, array_to_string(l.lines[s.i : s.j], chr(10)) AS passage FROM s JOIN l USING (doc_id)),
                  r AS (SELECT *, row_number() OVER (PARTITION BY passage ORDER BY doc_id, i) AS nth FROM p),
                  d AS (SELECT DISTINCT doc_id, unnest(generate_series(i, j)) AS i FROM r WHERE nth > 1),

@@ -1,10 +1,11 @@
 """Secret scans by assignment-aware lexing.
 
 Base patterns find assigned secrets, access keys and long hexadecimal runs. On top, texts that mention a sensitive name are lexed as source
-or configuration: ``name = value``, ``"name": value``, ``name := value`` and ``name => value`` become pairs of a
-name and the literals of its value; string concatenation, variable references and ``${name}`` are resolved with the
+or configuration: ``name = value``, ``"name": value``, ``name := value``, ``name => value``, ``<name>value</name>`` and ``--name value`` become pairs of a
+name and the literals of its value; string concatenation (over line ends too), variable references and ``${name}`` are resolved with the
 constants assigned so far; and a literal that reaches a sensitive target is scored by the name and by
-its own shape (length, character classes, entropy, no placeholder). Those that score enough are added as kind ``named``.
+its own shape (length, character classes, entropy, no placeholder), as are all literals of a value joined. Those that score enough are added as kind ``named``.
+Names and values have any length and any number of literals; every step of the lexer is linear in the text.
 
 Defined cases: null counts as empty; offsets are code points of the whole text, ends exclusive; spans of different kinds may overlap;
 repeated rows give the same result each.
@@ -36,13 +37,18 @@ SENSITIVE = {
     b"auth": 0.7, b"authorization": 0.8, b"client_secret": 1.0, b"encryption_key": 0.9, b"signing_key": 0.9,
 }
 STEMS = (b"pass", b"pwd", b"secret", b"token", b"key", b"cred", b"auth")
-PLACEHOLDERS = (b"example", b"changeme", b"placeholder", b"your", b"xxxx", b"****", b"dummy", b"<", b"todo", b"none", b"null", b"true", b"false")
+PLACEHOLDERS = (b"example", b"changeme", b"placeholder", b"xxxx", b"****", b"dummy", b"<", b"todo")
+EMPTY_WORDS = {b"none", b"null", b"true", b"false", b"your"}  # as whole words of a literal
 THRESHOLD = 0.6
 
-PAIR = re.compile(rb"""(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,127})(?P=q)[ \t]{0,64}(?::=|=>|=(?![=>])|:(?!//))[ \t]{0,64}""")
-PIECE = re.compile(rb"""[bru]?"(?P<d>(?:[^"\\\n]|\\.)*)"|[bru]?'(?P<s>(?:[^'\\\n]|\\.)*)'|\$\{?(?P<ref>[A-Za-z_][A-Za-z0-9_.]*)\}?|(?P<bare>[A-Za-z0-9+/_.=@%!-]+)""")
-INSIDE = re.compile(rb"\$\{?([A-Za-z_][A-Za-z0-9_.]*)\}?")
-PLUS = re.compile(rb"[ \t]{0,64}(?:\+|\.\.)[ \t]{0,64}")
+OPERATOR = re.compile(rb":=|=>|=(?![=>])|:(?!//)")
+BLANKS = re.compile(rb"[ \t]*+")
+NAME_BYTES, NO_FIRST = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-", b"0123456789.-"
+PIECE = re.compile(rb"""[bru]?"(?P<d>(?:[^"\\\n]|\\.)*+)"|[bru]?'(?P<s>(?:[^'\\\n]|\\.)*+)'|\$\{?(?P<ref>[A-Za-z_][A-Za-z0-9_.]*+)\}?|(?P<bare>[A-Za-z0-9+/_.@%!-]++={0,2})""")
+INSIDE = re.compile(rb"\$\{?([A-Za-z_][A-Za-z0-9_.]*+)\}?")
+PLUS = re.compile(rb"[ \t\r\n]*+(?:\+|\.\.)[ \t\r\n]*+")
+TAG = re.compile(rb"<([A-Za-z_][A-Za-z0-9_.-]*+)>([^<>\s]++)</")
+OPTION = re.compile(rb"(?<![A-Za-z0-9_-])--?([A-Za-z][A-Za-z0-9_-]*+)[ \t]++([^\s\"'-][^\s\"']*+)")
 
 Span = tuple[int, int]
 
@@ -57,46 +63,95 @@ def sensitivity(name: bytes) -> float:
 def shape(literal: bytes) -> float:
     """How much a literal looks like a secret: 0 for short texts and placeholders, up to 1."""
     low = literal.lower()
-    if len(literal) < 8 or any(p in low for p in PLACEHOLDERS) or b" " in literal:
+    if len(literal) < 8 or any(p in low for p in PLACEHOLDERS) or b" " in literal or not EMPTY_WORDS.isdisjoint(re.split(rb"[^a-z0-9]+", low)):
         return 0.0
     entropy = -sum(c / len(literal) * math.log2(c / len(literal)) for c in Counter(literal).values())
     kinds = sum(bool(re.search(k, literal)) for k in (rb"[a-z]", rb"[A-Z]", rb"[0-9]", rb"[^A-Za-z0-9]"))
     return min(1.0, entropy / 3.5) * (0.7 + 0.1 * kinds)
 
 
-def _value(text: bytes, at: int, known: dict[bytes, list[Span]]) -> tuple[list[Span], int]:
-    """Spans of the literals that the expression at an offset evaluates to, and where it ends."""
-    spans: list[Span] = []
+class _Constant:
+    """What a name was assigned: spans of literals and earlier constants, in order. Kept as a graph, so that values built of values cost no more than their text."""
+
+    def __init__(self):
+        self.parts: list[Span | _Constant] = []
+
+    def literals(self) -> list[Span]:
+        """Every literal once, in order of first use."""
+        found: dict[Span, None] = {}
+        seen, stack = {id(self)}, [iter(self.parts)]
+        while stack:
+            part = next(stack[-1], None)
+            if part is None:
+                stack.pop()
+            elif isinstance(part, tuple):
+                found[part] = None
+            elif id(part) not in seen:
+                seen.add(id(part))
+                stack.append(iter(part.parts))
+        return list(found)
+
+
+def _value(text: bytes, at: int, known: dict[bytes, _Constant]) -> tuple[_Constant, int]:
+    """What the expression at an offset evaluates to, and where the search for pairs goes on: after it, or where its first bare word starts, which may hold pairs itself."""
+    found, bare = _Constant(), None
     while piece := PIECE.match(text, at):
         kind = piece.lastgroup
         if kind == "ref":
-            spans += known.get(piece["ref"], [])
+            found.parts += [known[piece["ref"]]] if piece["ref"] in known else []
         elif kind == "bare" and piece["bare"] in known:
-            spans += known[piece["bare"]]
+            found.parts.append(known[piece["bare"]])
         else:
-            spans.append(piece.span(kind))
-            for inner in INSIDE.finditer(piece[kind]) if kind != "bare" else ():
-                spans += known.get(inner[1], [])
+            found.parts.append(piece.span(kind))
+            if kind == "bare":
+                bare = piece.start() if bare is None else bare
+            else:
+                found.parts += [known[inner[1]] for inner in INSIDE.finditer(piece[kind]) if inner[1] in known]
         at = piece.end()
         plus = PLUS.match(text, at)
         if not plus:
             break
         at = plus.end()
-    return spans, at
+    return found, at if bare is None else bare
+
+
+def _name_before(text: bytes, since: int, at: int) -> bytes:
+    """The name, quoted or not, that ends at an operator; empty where there is none."""
+    head = text[since:at].rstrip(b" \t")
+    quote = head[-1:] if head[-1:] in (b'"', b"'") else b""
+    head = head[: len(head) - len(quote)]
+    body = head.rstrip(NAME_BYTES)
+    name = head[len(body) :]
+    if quote:
+        return name if body.endswith(quote) and name[:1] not in NO_FIRST else b""
+    return name.lstrip(NO_FIRST)
+
+
+def _scored(text: bytes, weight: float, spans: list[Span]) -> set[Span]:
+    """The literals that look like secrets, or all where they do when joined."""
+    found = {s for s in spans if weight * shape(text[s[0] : s[1]]) >= THRESHOLD}
+    if len(spans) > 1 and weight * shape(b"".join(text[a:b] for a, b in spans)) >= THRESHOLD:
+        found |= {s for s in spans if s[0] < s[1]}
+    return found
 
 
 def named_literals(text: bytes) -> list[Span]:
     """Byte spans of the literals that reach a sensitive name with a sufficient score."""
-    known: dict[bytes, list[Span]] = {}
+    known: dict[bytes, _Constant] = {}
     found: set[Span] = set()
     at = 0
-    while pair := PAIR.search(text, at):
-        spans, end = _value(text, pair.end(), known)
-        name, weight = pair["name"], sensitivity(pair["name"])
-        known[name] = spans[:16]  # an expression of more literals is no constant worth following
-        if weight:
-            found |= {s for s in spans if weight * shape(text[s[0] : s[1]]) >= THRESHOLD}
-        at = max(end if spans else pair.end(), pair.start() + 1)
+    while op := OPERATOR.search(text, at):
+        name, at = _name_before(text, at, op.start()), op.end()
+        if not name:
+            continue
+        value, at = _value(text, BLANKS.match(text, at).end(), known)
+        known[name] = value
+        if weight := sensitivity(name):
+            found |= _scored(text, weight, value.literals())
+    for pattern in (TAG, OPTION):
+        for m in pattern.finditer(text):
+            if weight := sensitivity(m[1]):
+                found |= _scored(text, weight, [m.span(2)])
     return sorted(found)
 
 

@@ -5,9 +5,9 @@ suffixes at dots, each with every prefix of its path that is as long as some rul
 row against a split-block Bloom filter (blocks of eight 64-bit words, one bit in each); only those that pass are
 joined with the rules on the exact key, which removes false positives. The longest rule wins.
 
-The filter has ``BITS_PER_RULE`` bits a rule, is built by aggregation and shipped as a literal array; a list whose filter
-would exceed ``MAX_FILTER_BYTES`` is refused. The rules are broadcast only when their keys stay under
-``MAX_BROADCAST_BYTES``; otherwise the join shuffles. All steps are DataFrame functions.
+The filter has ``BITS_PER_RULE`` bits a rule up to ``MAX_FILTER_BYTES``, is built by aggregation and shipped as a literal array; a longer list
+fills it more, so that more candidates pass on to the join. The rules are broadcast only when their keys stay under
+``MAX_BROADCAST_BYTES``; otherwise the join shuffles, with common keys looked up skew-safely and URLs without a candidate spread. All steps are DataFrame functions.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and no rule; so has an empty path under rules whose path is not empty; verdict
 ``allow`` holds where no rule fits; repeated rows are judged each; a null rule is ignored, an empty list allows all; of repeated rules the verdict ``allow`` wins.
@@ -18,9 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import shielded
+from canopy.llm.common import lookup, shared_table, shielded
 
-BITS_PER_RULE, MAX_FILTER_BYTES, MAX_BROADCAST_BYTES = 16, 64 << 20, 8 << 20
+BITS_PER_RULE, MAX_FILTER_BYTES, MAX_BROADCAST_BYTES = 16, 8 << 20, 8 << 20
 WORDS = 8
 
 
@@ -56,9 +56,7 @@ class BlockedBloom:
     def __init__(self, keys: DataFrame, column: str = "key"):
         spark_keys = keys.select(F.col(column).alias("key")).where("key IS NOT NULL").distinct()
         n = spark_keys.count()
-        self.blocks = max(1, -(-n * BITS_PER_RULE // (64 * WORDS)))
-        if self.blocks * WORDS * 8 > MAX_FILTER_BYTES:
-            raise ValueError(f"{n} listed URLs need a filter of more than {MAX_FILTER_BYTES} bytes")
+        self.blocks = max(1, min(-(-n * BITS_PER_RULE // (64 * WORDS)), MAX_FILTER_BYTES // (8 * WORDS)))
         bits = [F.bit_or(_bit(F.col("key"), lane)).alias(f"w{lane}") for lane in range(WORDS)]
         filled = spark_keys.groupBy(_block(F.col("key"), self.blocks).alias("block")).agg(*bits)
         words = [0] * (self.blocks * WORDS)
@@ -84,6 +82,14 @@ def candidates(host: Column, path: Column, path_lengths: list[int]) -> Column:
     return F.flatten(F.transform(suffixes, lambda s: F.transform(fits, lambda n: F.concat(s, F.substring(path, F.lit(1), n)))))
 
 
+def _looked_up(hits: DataFrame, rules: DataFrame) -> DataFrame:
+    """Left join of candidates to any number of rules: a key that many rows have is spread, as are rows without one."""
+    uses = hits.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("_uses"))
+    keyed = hits.withColumn("key", F.coalesce("key", F.concat(F.lit("\0"), F.col("_row").cast("string"))))  # no host has such a character
+    found = lookup(keyed, shared_table(rules.join(uses, "key"), "rules"), ["key"], "_uses", hits.count(), [F.col("_row")])
+    return found.drop("_uses", "_deal")
+
+
 def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """pages (with column url) plus host, path, rule and verdict. rules: host, path, verdict."""
     return shielded(pages, ["url"], lambda p: _judge(p, rules))
@@ -99,7 +105,7 @@ def _judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     rows = pages.select(*own, F.monotonically_increasing_id().alias("_row"), host(F.col("url")).alias("_host"), path(F.col("url")).alias("_path"))
     possible = F.filter(candidates(F.col("_host"), F.col("_path"), lengths), bloom.may_hold)
     hits = rows.withColumn("key", F.explode_outer(F.when(F.col("_host") != "", possible)))
-    exact = hits.join(F.broadcast(rules) if size <= MAX_BROADCAST_BYTES else rules, "key", "left")
+    exact = hits.join(F.broadcast(rules), "key", "left") if size <= MAX_BROADCAST_BYTES else _looked_up(hits, rules)
     # A row's own columns are the same in all its hits; the longest key that is really listed wins.
     hit = F.when(F.col("rule_verdict").isNotNull(), F.struct(F.char_length("key").alias("n"), "n_host", "key", "rule_verdict"))
     firsts = [F.first(f"_own_{i}").alias(f"_own_{i}") for i in range(len(pages.columns))]
