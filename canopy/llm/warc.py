@@ -7,7 +7,8 @@ supplies: NUL for a gzip member (the top byte of a length below 16 MiB; a longer
 The reader takes any WARC files, plain or gzip by member. Each record is checked: its member's checksum, version line, Content-Length, the blank lines
 after the block, and the block digest if it has one. After a failed check the bytes from there on are quarantined up to the next offset at which a member starts that
 opens with a version line, or a plain version line at the start of a line; later records are recovered, and each gap
-is reported with its bytes and reason. A file is one row, so it has to fit a task's memory; the writer bounds files by ``FILE_RECORDS``.
+is reported with its bytes and reason. A member may hold any number of records of any size: its records are read one after the other, a gap among them is searched for the next version line alike, and
+all of them have the member's place in the file. Content beyond ``IN_MEMORY`` bytes is unpacked to a scratch file of the task. A file is one row, so its packed bytes have to fit a task's memory; the writer bounds files by ``FILE_RECORDS``.
 
 Defined cases: null html is an empty payload; of equal payloads of at least ``MIN_REVISIT`` bytes the largest page_id is the response (null ids only if there is no
 other; of repeated rows one); an empty table writes no records and reads back as no rows; an empty file has neither records nor gaps.
@@ -16,7 +17,9 @@ other; of repeated rows one); an empty table writes no records and reads back as
 from __future__ import annotations
 
 import hashlib
+import mmap
 import re
+import tempfile
 import zlib
 from collections.abc import Iterator
 
@@ -27,13 +30,11 @@ from pyspark.sql.window import Window
 
 from canopy.llm.common import lookup, shared_table
 
-MIN_REVISIT, FILE_RECORDS, LEVEL = 1000, 20_000, 4
+MIN_REVISIT, FILE_RECORDS, LEVEL = 1000, 10_000, 4
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-#: A record that unpacks to more is taken for damaged.
-MAX_RECORD = 1 << 30
-STEP = 1 << 16
+IN_MEMORY, STEP = 64 << 20, 1 << 16
 READ_SCHEMA = "file string, start long, end long, status string, reason string, headers map<string,string>, payload_bytes long, payload_sha1 string"
 
 
@@ -66,16 +67,15 @@ class Damaged(ValueError):
     """A check that failed."""
 
 
-def parse(plain: bytes | memoryview, at: int, whole: bool) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and end of the record at an offset of plain bytes; whole: nothing may follow it."""
-    data = bytes(plain) if isinstance(plain, memoryview) else plain
-    if not data.startswith(b"WARC/1.", at):
+def parse(data: bytes | mmap.mmap, at: int) -> tuple[dict[str, str], memoryview, int]:
+    """Headers, block and end of the record at an offset of plain bytes."""
+    if not re.match(rb"WARC/1\.", memoryview(data)[at : at + 7]):
         raise Damaged("no version line")
     head_end = data.find(b"\r\n\r\n", at)
     if head_end < 0:
         raise Damaged("headers without an end")
     headers: dict[str, str] = {}
-    for line in data[at:head_end].decode("utf-8", "replace").split("\r\n")[1:]:
+    for line in bytes(data[at:head_end]).decode("utf-8", "replace").split("\r\n")[1:]:
         name, colon, value = line.partition(":")
         if not colon or not name.strip():
             raise Damaged("malformed header")
@@ -84,31 +84,38 @@ def parse(plain: bytes | memoryview, at: int, whole: bool) -> tuple[dict[str, st
     if not re.fullmatch(r"[0-9]{1,18}", length):
         raise Damaged("no Content-Length")
     start, end = head_end + 4, head_end + 4 + int(length)
-    if data[end : end + 4] != b"\r\n\r\n" or (whole and len(data) != end + 4):
+    if data[end : end + 4] != b"\r\n\r\n":
         raise Damaged("the block does not end where Content-Length says")
-    block = data[start:end]
+    block = memoryview(data)[start:end]
     kind, _, digest = headers.get("warc-block-digest", "").partition(":")
     if kind == "sha1" and re.fullmatch("[0-9a-f]{40}", digest) and hashlib.sha1(block).hexdigest() != digest:
         raise Damaged("block digest differs")
     return headers, block, end + 4
 
 
-def unpack(data: memoryview, at: int, most: int = MAX_RECORD) -> tuple[bytes, int]:
-    """The content and the end of the gzip member at an offset; input goes in by steps, so no tail is copied."""
-    reader, out, size = zlib.decompressobj(31), [], 0
-    while not reader.eof:
-        step = data[at : at + STEP]
-        if not len(step):
-            raise Damaged("member without an end")
-        try:
-            out.append(reader.decompress(step))
-        except zlib.error as e:
-            raise Damaged(f"member: {e}") from None
-        at += len(step) - len(reader.unused_data)
-        size += len(out[-1])
-        if size > most:
-            raise Damaged("member too large")
-    return b"".join(out), at
+def unpack(data: memoryview, at: int) -> tuple[bytes | mmap.mmap, int]:
+    """The content and the end of the gzip member at an offset; input goes in by steps, so no tail is copied, and long content into a file."""
+    reader, out = zlib.decompressobj(31), tempfile.SpooledTemporaryFile(IN_MEMORY)
+    with out:
+        while not reader.eof:
+            step = data[at : at + STEP]
+            if not len(step):
+                raise Damaged("member without an end")
+            try:
+                while True:  # a step may unpack to a thousand times its size
+                    out.write(reader.decompress(step, 1 << 24))
+                    if reader.eof or not reader.unconsumed_tail:
+                        break
+                    at += len(step) - len(reader.unconsumed_tail)
+                    step = reader.unconsumed_tail
+            except zlib.error as e:
+                raise Damaged(f"member: {e}") from None
+            at += len(step) - len(reader.unused_data)
+        if out.tell() <= IN_MEMORY:
+            out.seek(0)
+            return out.read(), at
+        out.flush()
+        return mmap.mmap(out.fileno(), 0, access=mmap.ACCESS_READ), at
 
 
 _CANDIDATE = re.compile(rb"\x1f\x8b\x08|(?<=\n)WARC/1\.[0-9]\r\n")
@@ -127,33 +134,47 @@ def _next_start(data: bytes, at: int) -> int:
     return len(data)
 
 
-def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict[str, str], bytes]]:
+_VERSION = re.compile(rb"(?<=\n)WARC/1\.[0-9]\r\n")
+
+Found = tuple[int, int, str | None, dict[str, str], memoryview | bytes]
+
+
+def _member(plain: bytes | mmap.mmap, start: int, end: int) -> Iterator[Found]:
+    """The records and gaps of an unpacked member, which lies from start to end."""
+    at = 0
+    while at < len(plain):
+        try:
+            headers, block, at = parse(plain, at)
+            yield start, end, None, headers, block
+        except Damaged as e:
+            following = _VERSION.search(plain, at + 1)
+            after = following.start() if following else len(plain)
+            inside = "" if (at, after) == (0, len(plain)) else f" (bytes {at} to {after} of the unpacked member)"
+            yield start, end, f"{e}{inside}", {}, b""
+            at = after
+
+
+def salvage(data: bytes) -> Iterator[Found]:
     """(start, end, reason, headers, block) of each record (reason None) and of each quarantined gap, in order, covering all bytes."""
     at, view = 0, memoryview(data)
     while at < len(data):
         try:
             if view[at : at + 2] == b"\x1f\x8b":
                 plain, end = unpack(view, at)
-                if not plain:  # an empty member pads
-                    at = end
-                    continue
-                headers, block, _ = parse(plain, 0, True)
+                yield from _member(plain, at, end)  # an empty member pads
             else:
-                headers, block, end = parse(data, at, False)
+                headers, block, end = parse(data, at)
+                yield at, end, None, headers, block
         except Damaged as e:
             end = _next_start(data, at + 1)
             yield at, end, str(e), {}, b""
-        else:
-            yield at, end, None, headers, block
         at = end
 
 
-def payload(headers: dict[str, str], block: bytes) -> bytes:
+def payload(headers: dict[str, str], block: memoryview | bytes) -> memoryview | bytes:
     """The block without its HTTP head, where it has one."""
-    if headers.get("content-type", "").startswith("application/http"):
-        head, found, body = block.partition(b"\r\n\r\n")
-        return body if found else block
-    return block
+    head = re.search(rb"\r\n\r\n", block) if headers.get("content-type", "").startswith("application/http") else None
+    return block[head.end() :] if head else block
 
 
 # --- tables ----------------------------------------------------------------------------------------------------------
@@ -162,8 +183,9 @@ def payload(headers: dict[str, str], block: bytes) -> bytes:
 def typed(pages: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
     """pages (page_id, url, html) with bytes, digest, record_type and refers_to."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    digests = {"bytes": F.octet_length(html).cast("long"), "digest": F.sha1(html.cast("binary")), "_x": F.xxhash64(html)}
-    rows = pages.withColumns(digests)
+    rows = pages.withColumns({"bytes": F.octet_length(html).cast("long"), "digest": F.sha1(html.cast("binary"))})
+    # Short payloads, empty ones above all, have no group to look up; their rows are spread by page.
+    rows = rows.withColumn("_x", F.when(F.col("bytes") >= least, F.xxhash64(html)).otherwise(F.xxhash64("page_id", html)))
     keys = ["digest", "bytes", "_x"]
     groups = rows.where(F.col("bytes") >= least).groupBy(*keys).agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
     found = lookup(rows, shared_table(groups, "payloads"), keys, "n", pages.count(), [F.col("page_id")])
@@ -223,7 +245,7 @@ def _read(batches, with_payload: bool):
                 body = payload(headers, block)
                 row = [posixpath.basename(name.as_py()), start, end, "record" if reason is None else "quarantined", reason, list(headers.items())]
                 row += [len(body), hashlib.sha1(body).hexdigest()] if reason is None else [None, None]
-                rows.append([*row, body] if with_payload else row)
+                rows.append([*row, bytes(body)] if with_payload else row)
                 size += len(body) * with_payload + 500
                 if size > 8 << 20:
                     yield batch(rows)

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from canopy.llm import classifier, common, decontaminate, exact_dedup, line_dedup, mixing, secrets, sharding, simhash, url_filter, warc
+from canopy.llm import classifier, common, decontaminate, exact_dedup, graph, line_dedup, mixing, secrets, sharding, simhash, url_filter, warc
 
 P = " ".join(f"passage{i} word" for i in range(30))
 LONG = " ".join(f"w{i % 977}" for i in range(40_000))
@@ -460,6 +460,78 @@ def test_warc_roundtrip(spark, tmp_path):
     assert warc.pages_of(warc.read_archive(spark, f"file://{tmp_path}/none")).count() == 0
 
 
+def test_warc_records_beyond_memory_are_read(monkeypatch):
+    monkeypatch.setattr(warc, "IN_MEMORY", 1000)
+    body = b"x" * 300_000
+    found = list(warc.salvage(warc.member(warc.record([("WARC-Type", "resource")], body)) + warc.member(warc.record([("A", "b")], b"short"))))
+    assert [(r, bytes(b)) for _, _, r, _, b in found] == [(None, body), (None, b"short")]
+
+
+def test_short_payloads_are_spread(spark):
+    pages = spark.range(20_000).selectExpr("id AS page_id", "'u' AS url", "'' AS html")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = warc.typed(pages).groupBy(F.spark_partition_id().alias("p")).count().toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tasks["count"].sum() == 20_000 and tasks["count"].max() < 10_000
+
+
+def test_root_hubs_are_spread(spark):
+    edges = spark.range(1, 20_001).selectExpr("id AS hi", "0L AS lo").repartition(4)
+    lowest = graph._lowest(edges)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = graph._large_star(edges, lowest, 20_000)
+        tasks = found.groupBy(F.spark_partition_id().alias("p")).count().toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tasks["count"].sum() == 20_000 and tasks["count"].max() < 10_000
+    star = graph.components(edges.selectExpr("hi AS a", "lo AS b"))
+    assert star.where("component <> 0").count() == 0 and star.count() == 20_001
+
+
+def test_url_rules_of_any_number(spark, monkeypatch):
+    rules = spark.range(3000).selectExpr("concat('h', id, '.com') AS host", "'/' AS path", "'block' AS verdict").unionByName(spark.sql("SELECT 'com' AS host, '/' AS path, 'allow' AS verdict"))
+    pages = spark.range(6000).selectExpr("id AS page_id", "CASE WHEN id < 3000 THEN concat('http://h', id, '.com/x') WHEN id < 5000 THEN 'http://other.com/' ELSE 'none' END AS url")
+    want = Counter({("block", True): 3000, ("allow", True): 2000, ("allow", False): 1000})
+    for most, broadcast in ((url_filter.MAX_FILTER_BYTES, 1 << 20), (64, 0)):  # a filter that all keys pass, and a join that shuffles
+        monkeypatch.setattr(url_filter, "MAX_FILTER_BYTES", most)
+        monkeypatch.setattr(url_filter, "MAX_BROADCAST_BYTES", broadcast)
+        assert Counter((r["verdict"], r["rule"] is not None) for r in url_filter.judge(pages, rules).collect()) == want
+
+
+def test_secrets_without_caps():
+    pieces = [f"p{i}Zq81kLm92T" for i in range(20)]
+    text = ("X = " + " + ".join(f'"{p}"' for p in pieces) + "\npassword = X").encode()
+    assert [text[a:b].decode() for a, b in secrets.named_literals(text)] == pieces
+    joined = b'password = "Zx8" +\n  "1kq" + "Lm92Tt"'
+    assert [joined[a:b] for a, b in secrets.named_literals(joined)] == [b"Zx8", b"1kq", b"Lm92Tt"]
+    for text in (b"n" * 300 + b"_password" + b" " * 100 + b"=" + b" " * 100 + b"Zx81kqLm92Tt", b"Environment=DB_PWD=Zx81kqLm92Tt", b"INFO: pwd=Zx81kqLm92Tt", b"<secret>Zx81kqLm92Tt</secret>", b"run --token Zx81kqLm92Tt", b"my_secret: Zx81nullLm92"):
+        assert [text[a:b] for a, b in secrets.named_literals(text)] == [text.removesuffix(b"</secret>")[-12:]]
+    assert secrets.named_literals(b"password: your-own-value password: null-null-null") == []
+
+
+def brute_base(text):
+    """The base kinds by the patterns of the contract, on code points."""
+    found = []
+    for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII):
+        found += [("assign", 0, *m.span())] if len(m[2]) >= 8 else []
+    found += [("access", 1, *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [("hex", 2, *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return ",".join(f"{k}:{a}:{b}" for k, _, a, b in sorted(found, key=lambda f: (f[2], f[1])))
+
+
+def test_secret_base_by_brute_force():
+    rng = random.Random(4)
+    parts = ["password", "Api_Key", "APIKEY", "toKen", "secret", ": ", "=", '"', "'", " ", "  ", "AKIA", "ABCDEFGH12345", "deadbeef" * 4, "0123456789abcdef", "é", "ſecret", "\u212a", "x+/_.=-y", "\n", "abcdefgh", "short"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        raw = text.encode()
+        got = [f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in secrets.in_code_points(raw, secrets.find(raw)) if k < 3]
+        assert ",".join(got) == brute_base(text), text
+
+
 @pytest.mark.parametrize("packed", [True, False])
 def test_warc_salvage(packed):
     plain = [warc.record([("WARC-Type", "resource"), ("X-Page-Id", str(i))], f"body {i} ".encode() * 50) for i in range(6)]
@@ -474,4 +546,10 @@ def test_warc_salvage(packed):
     gaps = [(a, b) for a, b, reason, _, _ in found if reason]
     assert gaps == [(starts[1], starts[2]), (starts[3], starts[4]), (starts[6], len(data))]
     assert [a for a, *_ in found] == [0] + [b for _, b, *_ in found[:-1]]  # every byte is accounted for
+    if packed:  # one member of many records, one of them damaged
+        inner = bytearray(b"".join(plain))
+        inner[len(plain[0]) + len(plain[1]) - 40] ^= 0xFF
+        several = list(warc.salvage(warc.member(bytes(inner)) + parts[0]))
+        assert [h.get("x-page-id") for _, _, reason, h, _ in several if reason is None] == ["0", "2", "3", "4", "5", "0"]
+        assert [r for _, _, r, _, _ in several if r] == [f"block digest differs (bytes {len(plain[0])} to {len(plain[0]) + len(plain[1])} of the unpacked member)"]
     assert list(warc.salvage(b"")) == [] and [f[2] for f in warc.salvage(bytes(parts[0][:-9]))] != [None]
