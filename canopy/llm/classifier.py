@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 DIM, BUCKETS, NGRAMS, PRIOR = 8, 1 << 17, (3, 4), 32
 MAX_TRAIN_ROWS, MAX_TRAIN_BYTES, STEPS, RATE, SEED = 4000, 256 << 20, 12_000, 0.5, 7
-CACHED_WORDS = 100_000
+CACHED_WORDS = 50_000
 #: Texts whose new words are hashed together.
 TOGETHER = 128
 FACTOR, MIXER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
