@@ -72,18 +72,26 @@ def xpath_query(
 
 
 def xslt_transform(df: DataFrame, text: str, stylesheet: str, params: dict | None = None, loader: dict[str, str] | None = None, documents: dict[str, str] | None = None, into: str = "result") -> DataFrame:
-    """df with struct(value, error) of a stylesheet's output; the stylesheet is compiled once here and once a worker."""
+    """df with struct(value, error, secondary, messages): a stylesheet's output, its result documents by href and its messages; the stylesheet is compiled once here and once a worker."""
     from canopy.plans.xslt import compile_stylesheet, transform
 
     compile_stylesheet(stylesheet, loader)
     built: list = []
 
-    def run(source: str) -> str:
+    @F.arrow_udf("struct<value: string, error: string, secondary: map<string,string>, messages: array<string>>")
+    def run(texts: pa.Array) -> pa.Array:
         if not built:
             built.append(compile_stylesheet(stylesheet, loader))
-        return transform(source, built[0], params, documents)[0]
+        rows = []
+        for t in texts:
+            try:
+                rows.append((*([None] * 4),) if not t.is_valid else (lambda out, more, said: (out, None, list(more.items()), list(said)))(*transform(t.as_py(), built[0], params, documents)))
+            except Exception as e:  # noqa: BLE001  a document's own failure belongs in its row
+                rows.append((None, f"{type(e).__name__}: {e}"[:1000], None, None))
+        kinds = pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.list_(pa.string())
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["value", "error", "secondary", "messages"])
 
-    return df.withColumn(into, map_documents(F.col(text), "string", run))
+    return df.withColumn(into, run(F.col(text)))
 
 
 def validate(df: DataFrame, text: str, kind: str, schema: str = "", loader: dict[str, str] | None = None, phase: str | None = None) -> DataFrame:

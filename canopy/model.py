@@ -97,6 +97,11 @@ def number(document: Node, key: int = 0) -> Node:
     return document
 
 
+def path_name(ns: str, local: str) -> str:
+    """An element's step in a stored path: its local name, after its namespace in braces if it has one."""
+    return f"{{{ns.replace('%', '%25').replace('/', '%2F').replace('@', '%40')}}}{local}" if ns else local
+
+
 def rows(document: Node, namespaces: bool = False) -> list[list]:
     """Node-table rows (NODE_FIELDS) of a document, in order; without recursion."""
     out: list[list] = []
@@ -115,7 +120,7 @@ def rows(document: Node, namespaces: bool = False) -> list[list]:
             out[item][1] = len(out) - 1 - item
             continue
         node, level, parent, above, sib, elem_sib = item
-        step = {"document": "", "element": f"/{node.name}", "processing-instruction": "/processing-instruction()"}.get(node.kind, f"/{'text' if node.kind == 'cdata' else node.kind}()")
+        step = {"document": "", "element": f"/{path_name(node.ns, node.local)}", "processing-instruction": "/processing-instruction()"}.get(node.kind, f"/{'text' if node.kind == 'cdata' else node.kind}()")
         path = above + step
         pre = add(node, level, parent, path, sib, elem_sib, None)
         if node.kind in ("element", "document"):

@@ -152,31 +152,6 @@ def xpath_boolean_logic(spark, sf_dir):
     return Paths(lineitems(spark, sf_dir)).select("//lineitem[not(l_returnflag = 'A' or l_quantity <= 10)]").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
-def xpath_general_compare(spark, sf_dir):
-    orders, customer = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
-    wanted = customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return orders.join(wanted, "o_custkey", "left_semi").select("o_orderkey")
-
-
-@query("SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity >= 49)")
-def xpath_some(spark, sf_dir):
-    big = read(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("o_orderkey"))
-    return read(spark, sf_dir, "orders").join(big, "o_orderkey", "left_semi").select("o_orderkey")
-
-
-@query("SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND NOT l_quantity <= 30)")
-def xpath_every(spark, sf_dir):
-    failing = read(spark, sf_dir, "lineitem").where("NOT l_quantity <= 30").select(F.col("l_orderkey").alias("o_orderkey"))
-    return read(spark, sf_dir, "orders").join(failing, "o_orderkey", "left_anti").select("o_orderkey")
-
-
-@query("SELECT n_name, s_suppkey FROM nation, supplier WHERE s_nationkey = n_nationkey")
-def xpath_for_return(spark, sf_dir):
-    nation, supplier = read(spark, sf_dir, "nation"), read(spark, sf_dir, "supplier")
-    return nation.join(supplier, F.col("s_nationkey") == F.col("n_nationkey")).select("n_name", "s_suppkey")
-
-
 @query("SELECT o_orderkey, i FROM orders, LATERAL (SELECT unnest(generate_series(1, o_orderkey % 5)) AS i)")
 def xpath_range_seq(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", F.explode(X.sequence(F.lit(1).cast("long"), F.col("o_orderkey") % 5)).alias("i"))
@@ -230,29 +205,6 @@ def fn_dates(spark, sf_dir):
     )
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-def fn_json_lookup(spark, sf_dir):
-    return read(spark, sf_dir, "events").select("event_id", F.variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"))
-
-
-@query("SELECT label, count(DISTINCT list_aggregate(embedding[1:2], 'count')) AS n, count(*) AS rows FROM embeddings GROUP BY label")
-def fn_distinct_values(spark, sf_dir):
-    return read(spark, sf_dir, "embeddings").groupBy("label").agg(F.countDistinct(F.size(F.slice("embedding", 1, 2))).alias("n"), F.count("*").alias("rows"))
-
-
-@query("SELECT vec_id, len(embedding) AS size, round(CAST(embedding[1] AS DOUBLE), 3) AS head, round(list_aggregate(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), 'sum'), 3) AS fold, round(CAST(list_reverse(embedding)[1] AS DOUBLE), 3) AS last FROM embeddings")
-def fn_map_array(spark, sf_dir):
-    e = F.col("embedding")
-    fold = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return read(spark, sf_dir, "embeddings").select("vec_id", F.size(e).cast("long").alias("size"), F.round(e[0].cast("double"), 3).alias("head"), F.round(fold, 3).alias("fold"), F.round(F.reverse(e)[0].cast("double"), 3).alias("last"))
-
-
-@query("SELECT l_orderkey, round(sum(l_quantity), 2) AS total FROM lineitem GROUP BY l_orderkey")
-def hof_fold(spark, sf_dir):
-    items = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("q"))
-    return items.select("l_orderkey", F.round(F.aggregate("q", F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
-
-
 @query("SELECT l_orderkey, l_quantity, count(*) AS n FROM (SELECT *, rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC) AS r FROM lineitem) WHERE r = 1 GROUP BY ALL")
 def exslt_math_highest(spark, sf_dir):
     return matching.extremes(read(spark, sf_dir, "lineitem"), ["l_orderkey"], F.col("l_quantity")).groupBy("l_orderkey", "l_quantity").agg(F.count("*").alias("n"))
@@ -279,12 +231,6 @@ def exslt_regexp(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", F.array_join(X.regexp_match(name, "[a-e]+", "g"), ",").alias("g"), X.regexp_test(F.col("p_type"), "steel", "i").alias("t"), X.regexp_replace(name, "[aeiou]", "", "_").alias("one"), X.regexp_replace(name, "[aeiou]", "g", "_").alias("every_one"))
 
 
-@query("SELECT c_custkey, round(sqrt(abs(c_acctbal)), 6) AS r, round(c_acctbal ** 2, 2) AS p, round(sin(c_custkey), 9) AS s, round(atan2(c_acctbal, c_custkey), 9) AS t, round(ln(c_custkey), 9) AS l FROM customer WHERE c_custkey > 0")
-def exslt_math(spark, sf_dir):
-    x, k = F.col("c_acctbal"), F.col("c_custkey").cast("double")
-    return read(spark, sf_dir, "customer").where("c_custkey > 0").select("c_custkey", F.round(F.sqrt(F.abs(x)), 6).alias("r"), F.round(F.pow(x, F.lit(2.0)), 2).alias("p"), F.round(F.sin(k), 9).alias("s"), F.round(F.atan2(x, k), 9).alias("t"), F.round(F.ln(k), 9).alias("l"))
-
-
 # --- grouping, ordering, joining ---
 
 
@@ -359,12 +305,6 @@ def iterate_break(spark, sf_dir):
     return ordering.iterate_until(read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("value"), 100).select("event_id")
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '[0-9]+')) AS matching, array_to_string(regexp_extract_all(text, '[0-9]+'), ',') AS found FROM documents")
-def analyze_string(spark, sf_dir):
-    found = F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))
-    return read(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("matching"), F.array_join(found, ",").alias("found"))
-
-
 # --- validation and output ---
 
 
@@ -385,12 +325,6 @@ def type_castable(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", X.castable(k, "xs:byte").alias("byte"), X.castable(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), "xs:dateTime").alias("dt"), X.castable(F.col("event_type"), "xs:decimal").alias("no"))
 
 
-@query("SELECT o_orderkey AS id, 'price' AS rule FROM orders WHERE NOT o_totalprice > 1000 UNION ALL SELECT l_orderkey, 'quantity' FROM lineitem WHERE NOT l_quantity <= 49")
-def schematron_report(spark, sf_dir):
-    price = read(spark, sf_dir, "orders").where("NOT o_totalprice > 1000").select(F.col("o_orderkey").alias("id"), F.lit("price").alias("rule"))
-    return price.unionByName(read(spark, sf_dir, "lineitem").where("NOT l_quantity <= 49").select(F.col("l_orderkey").alias("id"), F.lit("quantity").alias("rule")))
-
-
 @query("SELECT c_custkey, '<customer id=\"' || c_custkey || '\"><name>' || replace(c_name, '&', '&amp;') || '</name><segment>' || c_mktsegment || '</segment></customer>' AS xml FROM customer")
 def publish_xml(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", to_xml("customer", {"id": F.col("c_custkey")}, {"name": F.col("c_name"), "segment": F.col("c_mktsegment")}).alias("xml"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from canopy.model import path_name
 from canopy.plans.xpath import REVERSE_AXES, XPathError, compile_xpath
 
 NODE = ["pre", "size", "level", "parent", "kind", "name", "prefix", "local", "ns", "value", "sib", "elem_sib", "owner", "path"]
@@ -121,7 +122,7 @@ class Paths:
 
     def anchored(self, steps: list[tuple]) -> tuple[DataFrame, list[tuple]]:
         """Leading name steps without predicates as one filter on the stored path."""
-        pattern, used, deep, last, kind = "", 0, False, None, "element"
+        pattern, used, deep, last, kind, uri = "", 0, False, None, "element", self.namespaces.get("", "")
         for step in steps:
             if step[0] != "axis" or step[3] and step[1] != "child":
                 break
@@ -132,7 +133,7 @@ class Paths:
             plain = test[0] == "name" and (test[1] is None or test[1] == ("default",))
             if axis not in ("child", "attribute") or not plain or step[3]:
                 break
-            name = "[^/@]+" if test[2] == "*" else re.escape(test[2])
+            name = "[^/@]+" if test[2] == "*" else re.escape(path_name(uri if axis == "child" else "", test[2]))
             pattern += ("(/[^/]+)*" if deep else "") + ("/@" if axis == "attribute" else "/") + name
             deep, used, last = False, used + 1, test
             if axis == "attribute":
@@ -145,7 +146,7 @@ class Paths:
             return self.nodes.where("pre = 0").select("doc_id", origin, *NODE), steps
         rows = self.nodes.where(F.col("kind") == kind).where(F.col("path").rlike(f"^{pattern}$"))
         if last[2] != "*":
-            rows = rows.where(F.col("name") == last[2])
+            rows = rows.where((F.col("local") == last[2]) & (F.col("ns") == (uri if kind == "element" else "")))
         return rows.select("doc_id", origin, *NODE), steps[used:]
 
     def test(self, test: tuple, axis: str) -> Column:

@@ -166,7 +166,9 @@ def _declare(node: Node, sheet: Stylesheet, counter: list[int], precedence: int)
         )
         for name in (get("use-character-maps") or "").split():
             sheet.output.character_map |= sheet.maps.get(name, {})
-    elif kind not in ("import", "include", "import-schema", "package", "expose", "accept", "global-context-item", "use-package", "function-library"):
+    elif kind in ("import-schema", "use-package", "package", "expose", "accept"):
+        raise XSLTError(f"xsl:{kind} is not supported: packages and schema-aware processing are not built")
+    elif kind not in ("import", "include", "global-context-item", "function-library"):
         raise XSLTError(f"xsl:{kind} is not supported at the top level")
 
 
