@@ -14,11 +14,17 @@ EXSLT = {
 }
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Documents over all cores: evaluating them takes far longer than their bytes tell, by which small tables would end in one task."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), key)
+
+
 def parts(spark, sf_dir) -> DataFrame:
     """p_partkey and a document of each part."""
     part = read(spark, sf_dir, "part")
     fields = {"name": F.col("p_name"), "type": F.col("p_type"), "brand": F.col("p_brand"), "price": F.format_string("%.2f", "p_retailprice")}
-    return part.select("p_partkey", to_xml("part", {"id": F.col("p_partkey"), "size": F.col("p_size")}, fields).alias("xml"))
+    return dealt(part, "p_partkey").select("p_partkey", to_xml("part", {"id": F.col("p_partkey"), "size": F.col("p_size")}, fields).alias("xml"))
 
 
 def orders(spark, sf_dir) -> DataFrame:
@@ -27,12 +33,12 @@ def orders(spark, sf_dir) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(order)).alias("lines"))
     line = lambda x: to_xml("line", {"flag": x["l_returnflag"], "part": x["l_partkey"]}, {"qty": x["l_quantity"].cast("int"), "price": F.format_string("%.2f", x["l_extendedprice"])})
     inner = F.array_join(F.transform("lines", line), "")
-    return lines.select("l_orderkey", F.concat(F.lit('<order key="'), F.col("l_orderkey"), F.lit('">'), inner, F.lit("</order>")).alias("xml"))
+    return dealt(lines, "l_orderkey").select("l_orderkey", F.concat(F.lit('<order key="'), F.col("l_orderkey"), F.lit('">'), inner, F.lit("</order>")).alias("xml"))
 
 
 def events(spark, sf_dir) -> DataFrame:
     """event_id and a document of each event."""
-    event = read(spark, sf_dir, "events")
+    event = dealt(read(spark, sf_dir, "events"), "event_id")
     return event.select("event_id", to_xml("event", {"type": F.col("event_type")}, {"ts": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), "day": F.date_format("ts", "yyyy-MM-dd"), "json": F.col("props")}).alias("xml"))
 
 
