@@ -22,8 +22,6 @@ from canopy.llm.common import lookup, row_key, shared_table
 
 WINDOW, BLOCK_WORDS, BLOCK_BYTES = 13, 2, 8 << 20
 RESULT = "struct<spans: array<long>, items: array<string>>"
-#: Words as the matcher has them, for whole texts in any case of letters.
-WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: Bytes of words after lower-casing: ASCII letters and digits, and all beyond ASCII. Others become spaces.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -120,6 +118,16 @@ def _scanned(block: list[tuple[str, bytes]], window: int, text: Column) -> Colum
     return scan(text)
 
 
+def _word_count(text: Column) -> Column:
+    """Number of words of whole texts, by the matcher's own split."""
+
+    @F.arrow_udf("bigint")
+    def counted(texts: pa.Array) -> pa.Array:
+        return pa.array([len(words_of(x.as_buffer().to_pybytes() if x.is_valid else None)) for x in texts], pa.int64())
+
+    return counted(text)
+
+
 def _joined(parts: Column) -> Column:
     """One result of those of several blocks."""
 
@@ -157,7 +165,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     """docs with n_words, n_hit, n_items, items_sha256 and contaminated (5% of the words or more are hit)."""
     n_hit = F.expr("aggregate(sequence(1, size(_hits.spans) div 2), 0L, (a, i) -> a + _hits.spans[2 * i - 1] - _hits.spans[2 * i - 2])")
     n_hit = F.when(F.size("_hits.spans") == 0, F.lit(0).cast("long")).otherwise(n_hit)
-    found = scan(docs, benchmark, window).withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")).withColumn("n_hit", n_hit)
+    found = scan(docs, benchmark, window).withColumn("n_words", _word_count(F.col("text"))).withColumn("n_hit", n_hit)
     found = found.withColumn("n_items", F.size("_hits.items").cast("long"))
     found = found.withColumn("items_sha256", F.sha2(F.array_join("_hits.items", ","), 256))
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).drop("_hits")
