@@ -5,7 +5,9 @@ at least 0.8 to it, so every dropped text has a near copy among the kept ones an
 
 Candidates cannot miss a pair: two sets of that similarity share at least four fifths of either, so under any one order of all shingles they share
 one of the first n - ceil(0.8 n) + 1 of each (the prefix). The order puts shingles that are common in a sample of the texts last; the sample
-decides what the search costs, never what it finds. Texts with a prefix shingle in common form a bucket. In each round the lowest texts of a bucket, its heads,
+decides what the search costs, never what it finds. Texts with a prefix shingle in common form a bucket. The first shingle two texts share has all others they share behind
+it, so they meet there only if neither place leaves too few; texts that differ too much, such as the outer ones of a large group of copies, hold their own rare shingles first and do not meet at the group's.
+Rows that can meet nobody in their bucket leave it. In each round the lowest texts of a bucket, its heads,
 meet all others of it, which is linear in the bucket; texts that are heads wherever they are can be decided, the rest go on with twice as many heads until none is undecided.
 Pairs are thinned by two bounds that no near copy exceeds, on the sizes and on the bits in which parity sketches (two bits a shingle or more) differ, then verified
 by counting equal shingles, those with the lowest candidate of a text first.
@@ -140,19 +142,41 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
 # --- buckets ---------------------------------------------------------------------------------------------------------
 
 PAIR, CARRIED, HOT_ROW = 0, 1, 2
-MET = "kind tinyint, s long, a long, b long, n int"
+MET = "kind tinyint, s long, a long, b long, n int, reach int"
+
+
+def _reach(n: Column, place: Column) -> Column:
+    """The size of the largest set that can be a near copy of one of n shingles if the first they share is at this place (from 0) of it: 9 (n - place) >= 4 (n + reach)."""
+    return F.floor((n * 5 - place * 9) / 4).cast("int")
+
+
+def _idle(s: np.ndarray, n: np.ndarray, reach: np.ndarray, begun: bool) -> np.ndarray:
+    """Rows (sorted by s) that can meet nobody: the shorter of a pair reaches its own size, and no such row of the bucket lies within their reach.
+    The last bucket, and the first if it had begun before, may be incomplete and keep all rows."""
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    bucket, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    shorter = reach >= n
+    low = np.minimum.reduceat(np.where(shorter, n, np.iinfo(np.int64).max), first)
+    high = np.maximum.reduceat(np.where(shorter, reach, -1), first)
+    whole = np.ones(len(first), bool)
+    whole[-1] = False
+    whole[0] &= not begun
+    return whole[bucket] & ~shorter & ((low[bucket] > reach) | (high[bucket] < n))
 
 
 def _met(batches, heads: int):
-    """Meetings in rows (s, id, n, hot) sorted by s and id: pairs (a < b) of a head and a later row of its bucket whose sizes allow a near copy; all rows of buckets
+    """Meetings in rows (s, id, n, reach, hot) sorted by s and id: pairs (a < b) of a head and a later row of its bucket within reach of each other; all rows of buckets
     with more rows than heads, to be carried on (a: whether the row is no head); and hot rows as they are (a: the number of rows before)."""
-    last, before, held_id, held_n = None, 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    last, before, held_id, held_n, held_reach = None, 0, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
-        rows = batch.num_rows
-        if not rows:
+        if not batch.num_rows:
             continue
-        s, ids, n = (np.asarray(batch.column(c)).astype(np.int64) for c in ("s", "id", "n"))
+        s, ids, n, reach = (np.asarray(batch.column(c)).astype(np.int64) for c in ("s", "id", "n", "reach"))
         hot = np.asarray(batch.column("hot")).astype(bool)
+        live = hot | ~_idle(s, n, reach, last is not None and s[0] == last)
+        s, ids, n, reach, hot = (x[live] for x in (s, ids, n, reach, hot))
+        rows = len(s)
         new = np.ones(rows, bool)
         new[1:] = s[1:] != s[:-1]
         new[0] = last is None or s[0] != last
@@ -160,49 +184,49 @@ def _met(batches, heads: int):
         start = np.maximum.accumulate(np.where(new, at, -1))
         going = start < 0  # the bucket began in an earlier batch
         place = np.where(going, at + before, at - start)
-        all_id, all_n = np.concatenate((held_id, ids)), np.concatenate((held_n, n))
+        all_id, all_n, all_reach = (np.concatenate(x) for x in ((held_id, ids), (held_n, n), (held_reach, reach)))
         first = np.where(going, 0, start + len(held_id))  # of the row's bucket, in all_id
-        out = [(np.full(hot.sum(), HOT_ROW), s[hot], place[hot], ids[hot], n[hot])]
+        out = [(np.full(hot.sum(), HOT_ROW), s[hot], place[hot], ids[hot], n[hot], reach[hot])]
         for j in range(min(heads, int(place.max()))):
             i = np.flatnonzero((place > j) & ~hot)
             h = first[i] + j
-            near = 5 * np.minimum(all_n[h], n[i]) >= 4 * np.maximum(all_n[h], n[i])
+            near = (n[i] <= all_reach[h]) & (all_n[h] <= reach[i])
             i, h = i[near], h[near]
-            out.append((np.full(len(i), PAIR), np.zeros(len(i), np.int64), all_id[h], ids[i], n[i]))
+            out.append((np.full(len(i), PAIR), np.zeros(len(i), np.int64), all_id[h], ids[i], n[i], reach[i]))
         over = np.flatnonzero((place >= heads) & ~hot)
-        out.append((np.full(len(over), CARRIED), s[over], np.ones(len(over), np.int64), ids[over], n[over]))
+        out.append((np.full(len(over), CARRIED), s[over], np.ones(len(over), np.int64), ids[over], n[over], reach[over]))
         for j in range(heads):
             i = over[place[over] == heads]
             h = first[i] + j
-            out.append((np.full(len(i), CARRIED), s[i], np.zeros(len(i), np.int64), all_id[h], all_n[h]))
+            out.append((np.full(len(i), CARRIED), s[i], np.zeros(len(i), np.int64), all_id[h], all_n[h], all_reach[h]))
         columns = [np.concatenate(c) for c in zip(*out)]
-        yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, (np.int8, np.int64, np.int64, np.int64, np.int32))], names=["kind", "s", "a", "b", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, (np.int8, np.int64, np.int64, np.int64, np.int32, np.int32))], names=["kind", "s", "a", "b", "n", "reach"])
         last, f = s[-1], int(first[-1])
         before = int(place[-1]) + 1
-        held_id, held_n = all_id[f:][:heads].copy(), all_n[f:][:heads].copy()
-
-
-def _allowed(an: Column, bn: Column) -> Column:
-    return F.least(an, bn) * 5 >= F.greatest(an, bn) * 4
+        held_id, held_n, held_reach = (x[f:][:heads].copy() for x in (all_id, all_n, all_reach))
 
 
 def _meet(members: DataFrame, heads: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of members (s, id, n, hot): the distinct pairs met (a, b); the members to carry on; and the ids (id) that are no heads somewhere."""
+    """Of members (s, id, n, reach, hot): the distinct pairs met (a, b); the members to carry on; and the ids (id) that are no heads somewhere."""
     dealt = members.repartition("s", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(DEALS))).otherwise(0)).sortWithinPartitions("s", "id")
     met = shared_table(dealt.mapInArrow(lambda b: _met(b, heads), MET), "met")
     pairs = met.where(F.col("kind") == PAIR).select("a", "b")
-    carried = met.where(F.col("kind") == CARRIED).select("s", F.col("b").alias("id"), "n", F.lit(False).alias("hot"), (F.col("a") == 1).alias("later"))
+    carried = met.where(F.col("kind") == CARRIED).select("s", F.col("b").alias("id"), "n", "reach", F.lit(False).alias("hot"), (F.col("a") == 1).alias("later"))
     rows = met.where(F.col("kind") == HOT_ROW)
     if not rows.isEmpty():
         rows = rows.withColumn("deal", F.pmod(F.xxhash64("b"), F.lit(DEALS)))
         # No more than ``heads`` rows of each task can be among the heads of a bucket.
-        lists = F.slice(F.sort_array(F.collect_list(F.struct("b", "n"))), 1, heads)
-        lists = rows.where(F.col("a") < heads).groupBy("s").agg(lists.alias("heads")).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
-        rows = shared_table(rows.select("s", F.col("b").alias("id"), "n", "deal").join(lists.hint("merge"), ["s", "deal"]), "hot")
-        found = rows.select("id", "n", F.explode("heads").alias("h")).where("h.b < id").where(_allowed(F.col("h.n"), F.col("n")))
+        lists = F.slice(F.sort_array(F.collect_list(F.when(F.col("a") < heads, F.struct("b", "n", "reach")))), 1, heads)
+        shorter = F.col("reach") >= F.col("n")
+        lists = rows.groupBy("s").agg(lists.alias("heads"), F.min(F.when(shorter, F.col("n"))).alias("low"), F.max(F.when(shorter, F.col("reach"))).alias("high"))
+        lists = lists.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+        rows = shared_table(rows.select("s", F.col("b").alias("id"), "n", "reach", "deal").join(lists.hint("merge"), ["s", "deal"]), "hot")
+        met_by = F.filter("heads", lambda h: (h["b"] < F.col("id")) & (F.col("n") <= h["reach"]) & (h["n"] <= F.col("reach")))
+        found = rows.select("id", F.explode(met_by).alias("h"))
         pairs = pairs.unionByName(found.select(F.col("h.b").alias("a"), F.col("id").alias("b")))
         later = F.col("id") > F.element_at("heads", -1)["b"]
-        carried = carried.unionByName(rows.where(F.size("heads") == heads).select("s", "id", "n", F.lit(True).alias("hot"), later.alias("later")))
+        live = shorter | F.coalesce((F.col("low") <= F.col("reach")) & (F.col("high") >= F.col("n")), F.lit(False))
+        carried = carried.unionByName(rows.where(live & (F.size("heads") == heads)).select("s", "id", "n", "reach", F.lit(True).alias("hot"), later.alias("later")))
     carried = shared_table(carried, "carried")
     return shared_table(pairs.distinct(), "pairs"), carried.drop("later"), shared_table(carried.where("later").select("id").distinct(), "later")
 
@@ -311,9 +335,11 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 
 def near_copies(docs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame | None:
     """Table (id) of the sets that go, None where there are none."""
-    spread = lambda name, hot: (F.explode(name).alias("s"), F.lit(hot).alias("hot"))
+    spread = lambda name, hot: (F.posexplode(name).alias("place", "s"), F.lit(hot).alias("hot"))
     listed = rows.select("row", "n", "prefix", "hot").join(sets.select("row", "id").hint("merge"), "row")
-    members = listed.select("id", "n", *spread("prefix", False)).unionByName(listed.select("id", "n", *spread("hot", True)))
+    # Hot shingles are the last ones of a prefix.
+    members = listed.select("id", "n", F.lit(0).alias("before"), *spread("prefix", False)).unionByName(listed.select("id", "n", F.size("prefix").alias("before"), *spread("hot", True)))
+    members = members.select("s", "id", "n", _reach(F.col("n"), F.col("before") + F.col("place")).alias("reach"), "hot")
     sketches = rows.select("row", "n", "sketch").join(sets.select("row", "id"), "row").select("id", "n", "sketch")
     edges, heads, dropped = None, HEADS, []
     while True:

@@ -54,3 +54,28 @@ def test_copies_beyond_two_bits_are_dropped_and_dissimilar_texts_stay(spark):
     rows = [(1, edit()), (2, edit(50)), (3, edit(20, 70)), (4, edit(10, 30, 50, 70, 90)), (5, edit(20, 45, 70))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 4, 5]
+
+
+def test_a_large_group_of_dissimilar_copies_is_not_paired_with_itself(spark, monkeypatch):
+    """Copies with four new words each keep most of their text, yet are no near copies of each other; pairs must follow the group's size, not its square."""
+    rng, met, thinned = random.Random(5), [], near_dedup._thinned
+    base = [f"w{k}" for k in range(150)]
+
+    def edited(i, edits):
+        words = list(base)
+        for k in rng.sample(range(5, 145, 8), edits):
+            words[k] = f"new{i}x{k}"
+        return " ".join(words)
+
+    def counted(pairs, *rest):
+        met.append(pairs.count())
+        return thinned(pairs, *rest)
+
+    monkeypatch.setattr(near_dedup, "_thinned", counted)
+    for size in (40, 120):  # 120 are hot, 40 are not
+        rows = [(0, " ".join(base)), *((i, edited(i, 4)) for i in range(1, size)), *((i, edited(i, 1)) for i in range(size, size + 10))]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        met.clear()
+        got = corpus_pipeline.near_dedup(spark, docs, "")
+        assert Counter(r["doc_id"] for r in got.collect()) == brute_kept(rows) == Counter(range(size))
+        assert sum(met) <= 4 * len(rows), (size, met)
