@@ -1,16 +1,19 @@
-"""Near dedup by exact Jaccard similarity of word shingles.
+"""Near dedup by SimHash and exact Jaccard similarity of word shingles.
 
 A text is the set of its ``SHINGLE_WORDS``-word shingles. In order of doc_id a text stays unless one that stays has a similarity of
 at least 0.8 to it, so every dropped text has a near copy among the kept ones and no two kept texts are near copies.
 
-Candidates cannot miss a pair: two sets of that similarity share at least four fifths of either, so under any one order of all shingles they share
+The first candidates are those of the SimHash operator (``simhash.classes``: ball hashing and components) on ``SHINGLE_WORDS``-word fingerprints: every text against the lowest of its component.
+Near copies can differ in more bits than any ball holds, so a second search finds the rest, and every candidate of either is checked by its exact similarity.
+
+The second search cannot miss a pair: two sets of that similarity share at least four fifths of either, so under any one order of all shingles they share
 one of the first n - ceil(0.8 n) + 1 of each (the prefix). The order puts shingles that are common in a sample of the texts last; the sample
 decides what the search costs, never what it finds. Texts with a prefix shingle in common form a bucket. The first shingle two texts share has all others they share behind
 it, so they meet there only if neither place leaves too few; texts that differ too much, such as the outer ones of a large group of copies, hold their own rare shingles first and do not meet at the group's.
 Rows that can meet nobody in their bucket leave it. In each round the lowest texts of a bucket, its heads,
 meet all others of it, which is linear in the bucket; texts that are heads wherever they are can be decided, the rest go on with twice as many heads until none is undecided.
 Pairs are thinned by two bounds that no near copy exceeds, on the sizes and on the bits in which parity sketches (two bits a shingle or more) differ, then verified
-by counting equal shingles, those with the lowest candidate of a text first.
+by counting equal shingles, those that SimHash links and those with the lowest candidate of a text first; what they settle needs no other check.
 
 Shingles that are hot in the sample are dealt over ``DEALS`` tasks, and their heads found among those of the tasks; texts in many pairs are
 copied to as many tasks as their pairs are dealt to. Nothing is broadcast or collected but a filter of bounded size.
@@ -27,7 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from canopy.llm.common import emit, row_key, shared_table
+from canopy.llm import simhash
+from canopy.llm.common import emit, lookup, row_key, shared_table
 
 SHINGLE_WORDS, SEED = 5, 42
 #: Texts of a bucket that meet all others of it in the first round.
@@ -103,13 +107,14 @@ def shingle_column(text: Column) -> Column:
 
 
 def described(text: Column, common: np.ndarray, counts: np.ndarray, hot_at: int) -> Column:
-    """Of whole texts: a 128-bit key of the set, its size, parity sketch and prefix, apart from it the shingles of the prefix with ``hot_at`` counts or more. ``common`` is sorted; shingles outside count as rarest."""
+    """Of whole texts: a 128-bit key of the set, its size, parity sketch, SimHash fingerprint and prefix, apart from it the shingles of the prefix with ``hot_at`` counts or more. ``common`` is sorted; shingles outside count as rarest."""
 
-    @F.arrow_udf("struct<s1: bigint, s2: bigint, n: int, sketch: binary, prefix: array<bigint>, hot: array<bigint>>")
+    @F.arrow_udf("struct<s1: bigint, s2: bigint, n: int, sketch: binary, fp: bigint, prefix: array<bigint>, hot: array<bigint>>")
     def told(texts: pa.Array) -> pa.Array:
-        keys, sizes, sketches, prefixes, hots = [], [], [], [], []
+        keys, sizes, sketches, prints, prefixes, hots = [], [], [], [], [], []
         for x in texts:
-            own = shingles(_bytes(x))
+            own = shingles(text := _bytes(x))
+            prints.append(simhash.fingerprint(text, SHINGLE_WORDS))
             keys.append(np.frombuffer(xxhash.xxh128_digest(own.tobytes(), SEED), np.int64))
             sizes.append(len(own))
             sketches.append(sketch(own))
@@ -122,8 +127,8 @@ def described(text: Column, common: np.ndarray, counts: np.ndarray, hot_at: int)
             prefixes.append(own[first[~hot]].view(np.int64))
             hots.append(own[first[hot]].view(np.int64))
         keys = np.array(keys, np.int64).reshape(-1, 2)
-        columns = [pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), _lists(prefixes), _lists(hots)]
-        return pa.StructArray.from_arrays(columns, names=["s1", "s2", "n", "sketch", "prefix", "hot"])
+        columns = [pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), _lists(prefixes), _lists(hots)]
+        return pa.StructArray.from_arrays(columns, names=["s1", "s2", "n", "sketch", "fp", "prefix", "hot"])
 
     return told(text)
 
@@ -139,6 +144,14 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     return values[order], counts[order], max(2, SAMPLE_TEXTS // HOT)
 
 
+def linked_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Stored pairs (a < b): each set that SimHash links to others, with the lowest of its component."""
+    prints = rows.select("row", "fp").join(sets.select("row", "id"), "row").select(F.col("id").alias("doc_id"), "fp")
+    prints = shared_table(prints, "prints")
+    found = lookup(prints, simhash.classes(prints), ["fp"], "n", prints.count(), [F.col("doc_id")]).where("component_id < doc_id")
+    return shared_table(found.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")), "linked")
+
+
 # --- buckets ---------------------------------------------------------------------------------------------------------
 
 PAIR, CARRIED, HOT_ROW = 0, 1, 2
@@ -306,14 +319,16 @@ def _without(pairs: DataFrame, gone: DataFrame) -> DataFrame:
     return pairs.select("a", "b")
 
 
-def _decided(docs: DataFrame, sets: DataFrame, candidates: DataFrame, edges: DataFrame, later: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Edges (a, b) between near copies that can't be decided yet, and tables (id) of the sets that go. edges come from the round before."""
+def _decided(docs: DataFrame, sets: DataFrame, candidates: DataFrame, linked: DataFrame | None, edges: DataFrame, later: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges (a, b) between near copies that can't be decided yet, and tables (id) of the sets that go. linked are candidates to check first, edges come from the round before."""
     dropped: list[DataFrame] = []
     if not candidates.isEmpty():
         ids = candidates.select(F.col("a").alias("id")).unionByName(candidates.select(F.col("b").alias("id"))).distinct()
         arrays = _arrays(docs, shared_table(sets.join(ids, "id", "left_semi").select("id", "_k1", "_k2"), "wanted"))
-        lowest = _near(candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), arrays)
-        dropped.append(_gone(lowest, candidates.unionByName(edges), later))
+        first = candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        if linked is not None:
+            first = shared_table(first.unionByName(candidates.join(linked, ["a", "b"], "left_semi")).distinct(), "first")
+        dropped.append(_gone(_near(first, arrays), candidates.unionByName(edges), later))
         rest = shared_table(_without(candidates, dropped[0]), "rest")
         found = _near(rest, arrays) if not rest.isEmpty() else rest
         edges = shared_table(_without(edges, dropped[0]).unionByName(found).distinct(), "edges")
@@ -341,14 +356,17 @@ def near_copies(docs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame
     members = listed.select("id", "n", F.lit(0).alias("before"), *spread("prefix", False)).unionByName(listed.select("id", "n", F.size("prefix").alias("before"), *spread("hot", True)))
     members = members.select("s", "id", "n", _reach(F.col("n"), F.col("before") + F.col("place")).alias("reach"), "hot")
     sketches = rows.select("row", "n", "sketch").join(sets.select("row", "id"), "row").select("id", "n", "sketch")
+    linked = linked_pairs(rows, sets)
     edges, heads, dropped = None, HEADS, []
     while True:
         pairs, carried, later = _meet(members, heads)
         if edges is None:
             edges = pairs.where("false")
+            pairs = shared_table(pairs.unionByName(linked).distinct(), "pairs")
         candidates = _thinned(pairs, sketches) if not pairs.isEmpty() else pairs
-        edges, gone = _decided(docs, sets, candidates, edges, later)
+        edges, gone = _decided(docs, sets, candidates, linked, edges, later)
         dropped += gone
+        linked = None
         if carried.isEmpty():
             return _union(dropped) if dropped else None
         going = later.unionByName(edges.select(F.col("a").alias("id"))).unionByName(edges.select(F.col("b").alias("id"))).distinct()

@@ -14,7 +14,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without those at a five-word-shingle similarity of 0.8 or more to a kept one of smaller doc_id."""
+    """Documents without those at a five-word-shingle similarity of 0.8 or more to a kept one of smaller doc_id; SimHash's candidates come first, a search without loss adds the rest."""
     return jaccard.drop_near_duplicates(docs)
 
 

@@ -6,7 +6,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-from canopy.llm import near_dedup
+from canopy.llm import near_dedup, simhash
 
 
 def shingle_set(t):
@@ -79,3 +79,31 @@ def test_a_large_group_of_dissimilar_copies_is_not_paired_with_itself(spark, mon
         got = corpus_pipeline.near_dedup(spark, docs, "")
         assert Counter(r["doc_id"] for r in got.collect()) == brute_kept(rows) == Counter(range(size))
         assert sum(met) <= 4 * len(rows), (size, met)
+
+
+def test_simhash_links_are_candidates_and_checked_exactly(spark, monkeypatch):
+    """The stage's first candidates are the operator's: the components of five-word fingerprints within two bits. Links below the similarity drop nothing."""
+    rng, seen, linked_pairs = random.Random(7), [], near_dedup.linked_pairs
+    chorus = "sing it once again now " * 60
+    words = [f"w{k}" for k in range(300)]
+    rows = [(i, chorus + " ".join(f"v{rng.randrange(99)}" for _ in range(6))) for i in range(8)]  # one loop, other words behind: near in bits, not in shingles
+    rows += [(10 + i, " ".join([*words[:-1], f"end{i}"])) for i in range(8)] + [(30 + i, " ".join(rng.sample(words, 60))) for i in range(8)] + [(50, rows[0][1])]
+
+    def told(described, sets):
+        found = linked_pairs(described, sets)
+        names = {r["id"]: r["doc_id"] for r in described.join(sets.select("row", "id"), "row").select("id", "doc_id").collect()}
+        seen.append({(names[r["a"]], names[r["b"]]) for r in found.collect()})
+        return found
+
+    monkeypatch.setattr(near_dedup, "linked_pairs", told)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    prints = {i: simhash.fingerprint(t.encode(), 5) for i, t in rows if i != 50}
+    lowest = {i: i for i in prints}
+    for _ in prints:
+        lowest = {i: min(lowest[j] for j in prints if (prints[i] ^ prints[j]).bit_count() <= 2) for i in prints}
+    want = {(low, i) for i, low in lowest.items() if low < i}
+    assert seen == [want]
+    assert any(b < 10 for _, b in want) and any(10 <= b < 30 for _, b in want)
+    assert got == brute_kept(rows)
+    assert {i for i in got if i < 30} == {*range(8), 10}
