@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy.model import Node
+from canopy.functions.library import text as string_value
 from canopy.plans.rowlocal import Context, atomize, evaluate, text_of, to_number, to_text, truth
 from canopy.plans.xpath import compile_xpath
 from canopy.sinks.serialize import Output, canonicalize, serialize
@@ -71,6 +72,18 @@ def xpath_query(
     return df.withColumn(into, map_documents(F.col(text), kind, run))
 
 
+def xpath_columns(df: DataFrame, text: str, expressions: dict[str, str], separator: str = ",", namespaces: dict[str, str] | None = None, into: str = "result") -> DataFrame:
+    """df with struct(value, error): the string values of each expression's items, joined, in the order of the expressions; all from one parse of the document."""
+    trees = [compile_xpath(f"({e})") for e in expressions.values()]
+    bound = namespaces or {}
+
+    def run(source: Any) -> list[str]:
+        ctx = Context(item=_document(source, False, Options()), namespaces=bound)
+        return [separator.join([x.string() if isinstance(x, Node) else string_value([x]) for x in evaluate(t, ctx)]) for t in trees]
+
+    return df.withColumn(into, map_documents(F.col(text), "array<string>", run))
+
+
 def xslt_transform(df: DataFrame, text: str, stylesheet: str, params: dict | None = None, loader: dict[str, str] | None = None, documents: dict[str, str] | None = None, into: str = "result") -> DataFrame:
     """df with struct(value, error, secondary, messages): a stylesheet's output, its result documents by href and its messages; the stylesheet is compiled once here and once a worker."""
     from canopy.plans.xslt import compile_stylesheet, transform

@@ -30,10 +30,10 @@ def parts(spark, sf_dir) -> DataFrame:
 def orders(spark, sf_dir) -> DataFrame:
     """l_orderkey and a document of each order: order / line[@flag][@part] / qty, price, in order of lines."""
     order = F.struct(*LINE_ORDER, "l_returnflag")
-    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(order)).alias("lines"))
+    lines = dealt(read(spark, sf_dir, "lineitem"), "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(order)).alias("lines"))
     line = lambda x: to_xml("line", {"flag": x["l_returnflag"], "part": x["l_partkey"]}, {"qty": x["l_quantity"].cast("int"), "price": F.format_string("%.2f", x["l_extendedprice"])})
     inner = F.array_join(F.transform("lines", line), "")
-    return dealt(lines, "l_orderkey").select("l_orderkey", F.concat(F.lit('<order key="'), F.col("l_orderkey"), F.lit('">'), inner, F.lit("</order>")).alias("xml"))
+    return lines.select("l_orderkey", F.concat(F.lit('<order key="'), F.col("l_orderkey"), F.lit('">'), inner, F.lit("</order>")).alias("xml"))
 
 
 def events(spark, sf_dir) -> DataFrame:
@@ -44,8 +44,7 @@ def events(spark, sf_dir) -> DataFrame:
 
 def evaluated(df: DataFrame, key: str, expressions: dict[str, str], kinds: dict[str, str] | None = None, namespaces: dict[str, str] | None = None) -> DataFrame:
     """The key and a column for each expression, all evaluated in one pass over the document."""
-    each = ", ".join(f"string-join((for $x in ({e}) return string($x)), ',')" for e in expressions.values())
-    found = api.xpath_query(df, "xml", f"({each})", "strings", namespaces=namespaces, into="xpath")
+    found = api.xpath_columns(df, "xml", expressions, namespaces=namespaces, into="xpath")
     made = [F.col("xpath.value")[i].cast((kinds or {}).get(name, "string")).alias(name) for i, name in enumerate(expressions)]
     return found.select(key, *made)
 
