@@ -43,6 +43,14 @@ def test_axes():
     assert evaluations(*(f"count({a})" for a in axes)) < 700  # 1,523 before
 
 
+def test_operators():
+    first = "xs:integer(/order/line[1]/qty)"
+    assert evaluations(
+        "/order/line[1] << /order/line[last()]", "for $i in 1 to count(/order/line) return $i * $i", f"(function($x) {{ $x + 1 }})({first})", f"map {{ 'q': {first} }}?q", "array:size(array { /order/line })",
+        "count(distinct-values((/order/line[1] | /order/line[position() > 1])/qty))", f"let $a := {first}, $b := xs:integer(/order/line[last()]/qty) return $a + $b",
+    ) < 550  # 1,112 before
+
+
 def test_schematron_rules_are_compiled_once_and_meet_each_node_once():
     from canopy.plans.documents import SCHEMATRON
 
